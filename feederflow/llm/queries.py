@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feederflow.llm import simhash
+from feederflow.llm import secrets, simhash
 from feederflow.llm.common import documents
 
 
+def op8_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(documents(spark, sf_dir))
+
+
 def op10_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op10_vantage_simhash,)}
+QUERIES = {f.__name__: f for f in (op8_blob_ledger, op10_vantage_simhash)}
 
 #: Queries of this package that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feederflow.llm import mixing, secrets, simhash
+from feederflow.llm import langid, mixing, secrets, simhash
 from feederflow.llm.common import documents
 
 
+def op4_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op7_mixture_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
@@ -20,7 +24,7 @@ def op10_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op7_mixture_blocks, op8_blob_ledger, op10_vantage_simhash)}
+QUERIES = {f.__name__: f for f in (op4_word_first_langid, op7_mixture_blocks, op8_blob_ledger, op10_vantage_simhash)}
 
 #: Queries of this package that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feederflow.llm import langid, mixing, secrets, simhash
+from feederflow.llm import bpe, langid, mixing, secrets, simhash
 from feederflow.llm.common import documents
 
 
+def tokenizer() -> str:
+    """The vocabulary file of operators 1 and 2; FEEDERFLOW_TOKENIZER names another."""
+    if path := os.environ.get("FEEDERFLOW_TOKENIZER"):
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """What a reader needs to compare encodings: the number and hash of the ids, the hash of the text they decode to."""
+    both = bpe.decode(bpe.encode(docs, tokenizer()), tokenizer())
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op4_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -24,7 +46,7 @@ def op10_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_word_first_langid, op7_mixture_blocks, op8_blob_ledger, op10_vantage_simhash)}
+QUERIES = {f.__name__: f for f in (op2_bpe_lexicon, op4_word_first_langid, op7_mixture_blocks, op8_blob_ledger, op10_vantage_simhash)}
 
 #: Queries of this package that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

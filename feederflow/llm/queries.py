@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederflow.llm import bpe, langid, mixing, secrets, simhash
+from feederflow.llm import bpe, langid, mixing, secrets, simhash, urls
 from feederflow.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_lexicon, op4_word_first_langid, op7_mixture_blocks, op8_blob_ledger, op10_vantage_simhash)}
+QUERIES = {f.__name__: f for f in (op2_bpe_lexicon, op3_url_language_model, op4_word_first_langid, op7_mixture_blocks, op8_blob_ledger, op10_vantage_simhash)}
 
 #: Queries of this package that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

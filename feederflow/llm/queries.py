@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederflow.llm import bpe, langid, mixing, secrets, simhash, urls
+from feederflow.llm import bpe, forest, langid, mixing, secrets, simhash, topk, urls
 from feederflow.llm.common import documents
 
 
@@ -38,6 +38,11 @@ def op4_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op5_tiled_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
 def op7_mixture_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
@@ -46,11 +51,15 @@ def op8_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(documents(spark, sf_dir))
 
 
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_lexicon, op3_url_language_model, op4_word_first_langid, op7_mixture_blocks, op8_blob_ledger, op10_vantage_simhash)}
+QUERIES = {f.__name__: f for f in (op2_bpe_lexicon, op3_url_language_model, op4_word_first_langid, op5_tiled_topk, op7_mixture_blocks, op8_blob_ledger, op9_projection_forest, op10_vantage_simhash)}
 
 #: Queries of this package that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

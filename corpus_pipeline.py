@@ -3,20 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feederflow.llm import simhash
+from feederflow.llm import langid, mixing, secrets, simhash
 from feederflow.llm.common import documents, stage
+from feederflow.llm.queries import bpe_digests
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: the first document of each group stays."""
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a language (null, no letter) or with one less likely than not go."""
+    judged = langid.annotate(docs.select(*COLUMNS), langid.learn(docs), pred="_lang", score="_score")
+    return judged.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= 0.5)).select(*COLUMNS)
+
+
+def first_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: of each group the document with the smallest id stays."""
     kept = simhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("near_copies", near_copies)]
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: every document stays, the spans of secrets are masked."""
+    return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: a document stands as often as the mix takes it, 0 to 3 times.
+
+    The mix takes parts of documents; the part of a time is rounded up with its own probability, by a hash of the id.
+    """
+    mix = mixing.mixture(docs).where("taken > 0")
+    times = F.col("taken") / F.col("size")
+    whole = F.floor(times)
+    luck = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = mix.select("doc_id", (whole + (luck < times - whole).cast("int")).cast("int").alias("_copies")).where("_copies > 0")
+    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE encoding and decoding: the number and hash of each document's ids, and the hash of what they decode to."""
+    return bpe_digests(docs)
+
+
+STAGES = [("language_id", known_language), ("near_copies", first_of_copies), ("secret_scan", without_secrets), ("mixing", mixed), ("bpe", encoded)]
+
+#: No stage but the scan's search could be said in SQL; tests/llm compares each stage with a plain version.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederflow.llm import bpe, forest, langid, mixing, secrets, simhash, topk, urls
+from feederflow.llm import bpe, forest, langid, mixing, perplexity, secrets, simhash, tokens, topk, urls
 from feederflow.llm.common import documents
 
 
@@ -20,6 +20,13 @@ def tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+SEPARATOR = 50256
+
+
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.document_tokens(documents(spark, sf_dir), tokenizer(), SEPARATOR)
+
+
 def op2_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
 
@@ -43,6 +50,11 @@ def op5_tiled_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return perplexity.filter_quality(documents(spark, sf_dir), trusted)
+
+
 def op7_mixture_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
@@ -59,7 +71,7 @@ def op10_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_lexicon, op3_url_language_model, op4_word_first_langid, op5_tiled_topk, op7_mixture_blocks, op8_blob_ledger, op9_projection_forest, op10_vantage_simhash)}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_bpe_lexicon, op3_url_language_model, op4_word_first_langid, op5_tiled_topk, op6_kneser_ney, op7_mixture_blocks, op8_blob_ledger, op9_projection_forest, op10_vantage_simhash)}
 
 #: Queries of this package that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

@@ -41,6 +41,15 @@ class Vocabulary:
     tokens: list[bytes]  # by id
     special: dict[str, int]
 
+    def __post_init__(self):
+        self.byte_table = np.array(self.byte_ids, np.int64)
+        order = sorted(self.merges)
+        self.pair_keys = np.array(order, np.int64)
+        self.pair_rank = np.array([self.merges[k][0] for k in order], np.int64)
+        self.pair_new = np.zeros(1 + max([r for r, _ in self.merges.values()], default=0), np.int64)
+        for rank, new in self.merges.values():
+            self.pair_new[rank] = new
+
 
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in a vocabulary file: printable ones for themselves, the rest from 256 up."""
@@ -114,6 +123,49 @@ def _merge_long(ids: list[int], merges: dict) -> list[int]:
     return out
 
 
+def merge_many(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """``merge`` of many pieces at once: their ids one after another, and how many each has.
+
+    In each round every piece merges its own pair of least rank, wherever it stands; pieces without a pair leave.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ids = v.byte_table[np.frombuffer(b"".join(words), np.uint8)]
+    of = np.repeat(np.arange(len(words)), size)
+    done_ids, done_of = [], []
+    none = len(v.pair_new)
+    while len(ids):
+        rank = np.full(len(ids), none, np.int64)
+        key = ids[:-1] << 32 | ids[1:]
+        at = np.minimum(np.searchsorted(v.pair_keys, key), none - 1)
+        hit = (v.pair_keys[at] == key) & (of[:-1] == of[1:])
+        rank[:-1][hit] = v.pair_rank[at[hit]]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        least = np.minimum.reduceat(rank, first)
+        least = np.repeat(least, np.diff(first, append=len(of)))
+        live = least < none
+        if not live.all():
+            done_ids.append(ids[~live])
+            done_of.append(of[~live])
+            ids, of, rank, least = ids[live], of[live], rank[live], least[live]
+            if not len(ids):
+                break
+        take = rank == least
+        both = take[1:] & take[:-1]
+        if both.any():  # a run of one letter: of pairs that overlap every second one merges
+            place = np.arange(len(take))
+            begin = np.maximum.accumulate(np.where(take & ~np.concatenate([[False], take[:-1]]), place, -1))
+            take &= (place - begin) % 2 == 0
+        ids[take] = v.pair_new[rank[take]]
+        keep = np.ones(len(ids), bool)
+        keep[np.flatnonzero(take) + 1] = False
+        ids, of = ids[keep], of[keep]
+    if not done_ids:
+        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    ids, of = np.concatenate(done_ids), np.concatenate(done_of)
+    order = np.argsort(of, kind="stable")
+    return ids[order], np.bincount(of, minlength=len(words))
+
+
 # The transducer
 
 
@@ -215,14 +267,25 @@ class Encoder:
     memo: dict[str, bytes] = field(default_factory=dict)
 
     def _merged(self, pieces: list[str]) -> bytes:
+        if len(pieces) > 16:
+            return merge_many([p.encode() for p in pieces], self.vocabulary)[0].astype("<i4").tobytes()
         return np.array([i for p in pieces for i in merge(p.encode(), self.vocabulary)], "<i4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Words that follow a space: from the lexicon, or else merged."""
         words = sorted(words)
         known = self.lexicon.lookup([b" " + w.encode() for w in words]) if self.lexicon else [None] * len(words)
+        unseen = []
         for w, ids in zip(words, known, strict=True):
-            self.memo[w] = self._merged(_CUT.findall(" " + w)) if ids is None else ids.astype("<i4").tobytes()
+            if ids is None:
+                unseen.append(w)
+            else:
+                self.memo[w] = ids.astype("<i4").tobytes()
+        cut = [_CUT.findall(" " + w) for w in unseen]
+        ids, size = merge_many([p.encode() for c in cut for p in c], self.vocabulary)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])]
+        raw, ends = ids.astype("<i4").tobytes(), (4 * ends).tolist()
+        self.memo.update(zip(unseen, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
 
     def _plain(self, text: str) -> bytes:
         if not text:
@@ -265,6 +328,17 @@ class Encoder:
         return out
 
 
+_KEPT: dict[tuple, Encoder] = {}
+
+
+def kept_encoder(name: str, literal_special: bool, sent) -> Encoder:
+    """A worker's encoder for a lexicon: its tasks share what it has learned. Only the last one is kept."""
+    if (name, literal_special) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name, literal_special] = Encoder(sent.value, Lexicon(SparkFiles.get(name)), literal_special)
+    return _KEPT[name, literal_special]
+
+
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65536, longest: int = 64) -> list[str]:
     """The ``most`` words after a space that occur most often in all of ``docs``, counted before and after the shuffle."""
     words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("w")).where(F.length("w").between(1, longest) & ~F.col("w").rlike(r"^\s"))
@@ -297,7 +371,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        encoder = Encoder(sent.value, Lexicon(SparkFiles.get(name)), literal_special)
+        encoder = kept_encoder(name, literal_special, sent)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = encoder.encode_all(texts)

@@ -43,14 +43,27 @@ class Vocabulary:
 
     def __post_init__(self):
         self.byte_table = np.array(self.byte_ids, np.int64)
-        order = sorted(self.merges)
-        self.pair_keys = np.array(order, np.int64)
-        self.pair_rank = np.array([self.merges[k][0] for k in order], np.int64)
+        # Pairs in an open-addressed table: a slot by multiplication, the next ones where it is taken.
+        self.slot_key, self.slot_rank = np.full(SLOTS + 64, -1, np.int64), np.zeros(SLOTS + 64, np.int64)
+        self.probes = 1
+        for (key, (rank, _)), at in zip(self.merges.items(), slot_of(np.array(list(self.merges), np.int64)).tolist(), strict=True):
+            start = at
+            while self.slot_key[at] >= 0:
+                at += 1
+            self.slot_key[at], self.slot_rank[at] = key, rank
+            self.probes = max(self.probes, at - start + 1)
         self.pair_new = np.zeros(1 + max([r for r, _ in self.merges.values()], default=0), np.int64)
         for rank, new in self.merges.values():
             self.pair_new[rank] = new
 
 
+SLOTS = 1 << 19
+
+
+def slot_of(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 19)).astype(np.int64)
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in a vocabulary file: printable ones for themselves, the rest from 256 up."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -135,10 +148,17 @@ def merge_many(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     none = len(v.pair_new)
     while len(ids):
         rank = np.full(len(ids), none, np.int64)
-        key = ids[:-1] << 32 | ids[1:]
-        at = np.minimum(np.searchsorted(v.pair_keys, key), none - 1)
-        hit = (v.pair_keys[at] == key) & (of[:-1] == of[1:])
-        rank[:-1][hit] = v.pair_rank[at[hit]]
+        inside = np.flatnonzero(of[:-1] == of[1:])
+        key = ids[inside] << 32 | ids[inside + 1]
+        at = slot_of(key)
+        for probe in range(v.probes):
+            found = v.slot_key[at]
+            hit = found == key
+            rank[inside[hit]] = v.slot_rank[at[hit]]
+            more = (found >= 0) & ~hit
+            if probe + 1 == v.probes or not more.any():
+                break
+            inside, key, at = inside[more], key[more], at[more] + 1
         first = np.flatnonzero(np.diff(of, prepend=-1))
         least = np.minimum.reduceat(rank, first)
         least = np.repeat(least, np.diff(first, append=len(of)))

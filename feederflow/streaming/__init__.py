@@ -1,0 +1 @@
+"""Rolling state over unbounded input."""

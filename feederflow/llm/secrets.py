@@ -136,8 +136,8 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def redact(docs: DataFrame, text_col: str = "text", ledger: str | None = None, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each span of a secret replaced by ``mark``; overlapping spans are replaced as one. All rows stay."""
-    found = update_ledger(docs, ledger, text_col).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("_spans"))
-    joined = docs.withColumn("_blob", blob_of(text_col)).join(found, "_blob", "left").drop("_blob")
+    found = update_ledger(docs, ledger, text_col).where(F.size("spans") > 0).select(F.col("blob").alias("_ledger_blob"), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("_ledger_spans"))
+    joined = docs.withColumn("_ledger_blob", blob_of(text_col)).join(found, "_ledger_blob", "left").drop("_ledger_blob")
     at, spans = docs.columns.index(text_col), len(docs.columns)
 
     def cut(batches):

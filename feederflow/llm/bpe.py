@@ -25,6 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feederflow.llm.common import stage
+
 #: Fixed value: how byte-level BPE cuts a text into pieces before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = regex.compile(PATTERN)
@@ -360,9 +362,21 @@ def kept_encoder(name: str, literal_special: bool, sent) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65536, longest: int = 64) -> list[str]:
-    """The ``most`` words after a space that occur most often in all of ``docs``, counted before and after the shuffle."""
+    """Up to ``most`` of the words after a space that occur most often in all of ``docs``, counted before and after the shuffle.
+
+    The cut comes from a histogram of the counts on a fine logarithmic scale, so the driver gets a few hundred
+    rows and then the words above the cut, never a list from each task. Words at the cut's own step stay out.
+    """
     words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("w")).where(F.length("w").between(1, longest) & ~F.col("w").rlike(r"^\s"))
-    return [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
+    step = F.floor(F.log2("n") * 32).alias("step")
+    counts = stage(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", step), "word-counts")
+    cut, held = None, 0
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        held += r["words"]
+        if held > most:
+            break
+        cut = r["step"]
+    return [] if cut is None else [r["w"] for r in counts.where(F.col("step") >= cut).select("w").collect()]
 
 
 def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", most: int = 65536) -> str:

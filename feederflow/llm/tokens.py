@@ -109,4 +109,5 @@ def document_tokens(docs: DataFrame, tokenizer: str, separator: int, id_col: str
     """
     folder = stage_path(docs.sparkSession, "flat-tokens")
     went = write_token_files(docs, folder, tokenizer, separator, id_col, text_col)
-    return went.join(count_tokens(went, folder, separator, block_tokens=block_tokens), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    counted = count_tokens(went, folder, separator, block_tokens=block_tokens).hint("merge")  # as long as the corpus, whatever the planner expects
+    return went.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

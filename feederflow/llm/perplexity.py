@@ -75,7 +75,7 @@ def trusted_docs(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
     """
     spark = docs.sparkSession
     bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    words = trusted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("bits")).toPandas()
+    words = trusted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("bits")).toArrow().to_pandas()
     marks = np.zeros(BITMAP // 32, np.uint32)
     marks[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(marks)
@@ -179,7 +179,7 @@ def shards_of(model: DataFrame, shard_rows: int) -> list[tuple[list[int], np.nda
         packs[-1].append(s)
         held += sizes[s]
     for pack in packs:
-        t = model.where(F.col("last").isin([-1, *pack])).select("key", "value").toPandas()
+        t = model.where(F.col("last").isin([-1, *pack])).select("key", "value").toArrow().to_pandas()
         key, value = t["key"].to_numpy(np.int64), t["value"].to_numpy(np.float64)
         order = np.argsort(key)
         yield pack, key[order], value[order].astype(np.float32)

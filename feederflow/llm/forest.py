@@ -132,7 +132,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     classes = stage(rows.where(ok).select(*key, "id", "label", "v").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "vector-classes")
     n = classes.count()
     share = min(1.0, sample_rows / max(1, n))
-    sample = classes.where(F.pmod("h1", F.lit(1 << 30)) < int(share * (1 << 30))).select("label", "v").limit(4 * sample_rows).toPandas()
+    sample = classes.where(F.pmod("h1", F.lit(1 << 30)) < int(share * (1 << 30))).select("label", "v").limit(4 * sample_rows).toArrow().to_pandas()
     sample["dim"] = sample["v"].map(len)
     planted: dict[tuple, list] = {}
     numbers = 0

@@ -119,7 +119,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     best = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
     totals = {(r["lang"], r["n"]): r["c"] for r in summed.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     ranked = summed.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= grams_per_lang) | (F.col("n") == 0) & (F.col("rank") <= words_per_lang))
-    table = ranked.select("lang", "n", "gram", "c").toPandas()
+    table = ranked.select("lang", "n", "gram", "c").toArrow().to_pandas()
     at, rows, values = {k: i for i, k in enumerate(langs)}, [{} for _ in range(longest + 1)], []
     for lang, n, gram, c in table.sort_values(["n", "gram", "lang"]).itertuples(index=False):
         r = rows[n].get(gram)

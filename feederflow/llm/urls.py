@@ -97,7 +97,7 @@ def learn(labelled: DataFrame, folds: int = 5) -> Ratio:
     """
     labelled = labelled.where(F.length("url") > 0).select("verdict", F.col("url").cast("binary").alias("url"))
     fold = F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(folds)) == 0
-    summed = labelled.where(~fold).mapInArrow(_count, "verdict string, code bigint, n bigint").groupBy("verdict", "code").agg(F.sum("n").alias("n")).toPandas()
+    summed = labelled.where(~fold).mapInArrow(_count, "verdict string, code bigint, n bigint").groupBy("verdict", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     logs = []
     for verdict in ("allow", "block"):
         c = np.zeros(SIZE ** (ORDER + 1), np.int64)
@@ -106,7 +106,7 @@ def learn(labelled: DataFrame, folds: int = 5) -> Ratio:
         logs.append(log_likelihoods(c))
     model = Ratio((logs[0] - logs[1]).astype(np.float32))
     low = F.floor((F.least(F.greatest(F.col("score"), F.lit(-WIDEST)), F.lit(WIDEST)) + WIDEST) / (2 * WIDEST) * BINS)
-    bins = annotate(labelled.where(fold), model).groupBy("verdict", low.alias("bin")).agg(F.count("*").alias("n")).toPandas()
+    bins = annotate(labelled.where(fold), model).groupBy("verdict", low.alias("bin")).agg(F.count("*").alias("n")).toArrow().to_pandas()
     hist = {v: np.bincount(p["bin"].to_numpy(np.int64), p["n"], BINS + 1) for v, p in bins.groupby("verdict")}
     if len(hist) == 2:
         wrong = np.concatenate([[0], np.cumsum(hist["allow"]) / hist["allow"].sum()]) + np.concatenate([np.cumsum(hist["block"][::-1])[::-1] / hist["block"].sum(), [0]])

@@ -319,8 +319,7 @@ class Assembly:
         areas = area.groupBy("area").agg(F.min("bus_id").alias("first"))
         df = areas.join(area_peak(net), "area", "left").join(have, "area", "left").join(grow, "area", "left")
         need = F.greatest(F.coalesce("peak", F.lit(0.0)), F.lit(0.0)) * (1 + (margin or 0.0)) - F.coalesce("firm", F.lit(0.0))
-        rows = df.select(F.lit("reserve").alias("family"), F.col("first").cast("bigint").alias("id"), F.lit(0).alias("k"), F.lit(0).alias("t"), need.alias("lower"), F.lit(INF).alias("upper"), F.coalesce(F.col("terms").cast(TERM), F.array().cast(TERM)).alias("terms"))
-        return rows if margin is not None else rows.where(F.lit(False))
+        return df.select(F.lit("reserve").alias("family"), F.col("first").cast("bigint").alias("id"), F.lit(0).alias("k"), F.lit(0).alias("t"), need.alias("lower"), F.lit(INF).alias("upper"), F.coalesce(F.col("terms").cast(TERM), F.array().cast(TERM)).alias("terms"))
 
     def ramps(self) -> DataFrame:
         x = self._term
@@ -416,7 +415,7 @@ class Assembly:
         """All of it; ``families`` names the row families besides the balance, all by default."""
         names = families if families is not None else tuple(self.FIXED)
         made = [getattr(self, f)() for f in names if self.FIXED.get(f) in self.net.tables]
-        if families is None or "reserve" in families:
+        if self.net.settings.reserve_margin is not None and (families is None or "reserve" in families):
             made.append(self.reserve())
         if "contingencies" in self.net.tables and (families is None or "security" in families):
             made.append(self.security())

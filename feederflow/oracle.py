@@ -117,6 +117,9 @@ TWINS = {
         SELECT CAST(col AS BIGINT) AS col, count(*) AS n, CAST(min(row) AS BIGINT) AS first, sum(val) AS val FROM e GROUP BY col)"""),
 }
 
+#: A column for each nation's load, as the report names them.
+TWINS["results_pivot"] = ("profile loads", "SELECT t, " + ", ".join(f"round(max(CASE WHEN load_id = {k} THEN value END), 6) AS load{k}" for k in range(25)) + " FROM profile JOIN loads USING (load_id) GROUP BY t")
+
 
 def sql(name: str) -> str:
     """The query with the expressions that it needs in front."""

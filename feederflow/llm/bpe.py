@@ -2,64 +2,80 @@
 
 The corpus's most frequent words (what stands between single spaces, with the space before) are encoded once and
 compiled into a minimal acyclic transducer: words that end alike share states, each arc carries a number, and
-the sum along a word's path is its place in the table of id sequences. The transducer is a flat file that Spark
-ships to each executor, where every Python worker maps it into memory. Words that it lacks are merged
-exactly, pair by pair in order of rank.
+the sum along a word's path is its place in the table of id sequences. The transducer is a flat file in the shared
+folder that Spark copies to each executor, where every Python worker maps it into memory. Words that it lacks are
+merged exactly, pair by pair in order of rank. Texts pass through a worker in slices of bounded size.
 """
 
 from __future__ import annotations
 
-import atexit
+import hashlib
 import heapq
 import json
 import os
-import shutil
-import tempfile
-import uuid
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from feederflow.llm.common import stage
+from feederflow.llm.common import kept, publish, published, slices, stage
 
 #: Fixed value: how byte-level BPE cuts a text into pieces before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = regex.compile(PATTERN)
 _BLANK = regex.compile(r"\s")
-GROUP_CHARS = 4_000_000
+SLOTS = 1 << 19
+LONG_PIECE = 96  # bytes from which a piece is merged with a heap
+MERGED_BYTES = 1 << 19  # bytes of pieces that are merged at once
+MEMO_BYTES = 48_000_000  # what a worker remembers at most
 
 
 @dataclass
 class Vocabulary:
-    """A byte-level BPE vocabulary as plain tables."""
-
-    byte_ids: list[int]  # of the 256 single bytes
-    merges: dict[int, tuple[int, int]]  # left << 32 | right -> rank, merged id
-    tokens: list[bytes]  # by id
-    special: dict[str, int]
-
-    def __post_init__(self):
-        self.byte_table = np.array(self.byte_ids, np.int64)
-        # Pairs in an open-addressed table: a slot by multiplication, the next ones where it is taken.
-        self.slot_key, self.slot_rank = np.full(SLOTS + 64, -1, np.int64), np.zeros(SLOTS + 64, np.int64)
-        self.probes = 1
-        for (key, (rank, _)), at in zip(self.merges.items(), slot_of(np.array(list(self.merges), np.int64)).tolist(), strict=True):
-            start = at
-            while self.slot_key[at] >= 0:
-                at += 1
-            self.slot_key[at], self.slot_rank[at] = key, rank
-            self.probes = max(self.probes, at - start + 1)
-        self.pair_new = np.zeros(1 + max([r for r, _ in self.merges.values()], default=0), np.int64)
-        for rank, new in self.merges.values():
-            self.pair_new[rank] = new
+    """A byte-level BPE vocabulary as flat arrays, which may lie in a file that is mapped into memory."""
 
+    byte_table: np.ndarray  # ids of the 256 single bytes
+    slot_key: np.ndarray  # pairs ``left << 32 | right`` in an open-addressed table, -1 where empty
+    slot_rank: np.ndarray
+    pair_new: np.ndarray  # merged id by rank
+    token_bytes: np.ndarray  # the tokens' bytes one after another
+    token_ends: np.ndarray
+    special_ids: np.ndarray
 
-SLOTS = 1 << 19
+    @cached_property
+    def probes(self) -> int:
+        """How many slots a search looks at, at most."""
+        used = np.flatnonzero(self.slot_key >= 0)
+        return int((used - slot_of(self.slot_key[used])).max(initial=0)) + 1
+
+    @cached_property
+    def ranks(self) -> dict[int, int]:
+        used = np.flatnonzero(self.slot_key >= 0)
+        return dict(zip(self.slot_key[used].tolist(), self.slot_rank[used].tolist(), strict=True))
+
+    @cached_property
+    def tokens(self) -> pa.Array:
+        """The bytes of each token, by id."""
+        return _binary(self.token_bytes, self.token_ends)
+
+    @cached_property
+    def decimals(self) -> pa.Array:
+        """Each id as decimal digits after a comma."""
+        texts = [b",%d" % i for i in range(len(self.tokens))]
+        return _binary(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    @cached_property
+    def special(self) -> dict[str, int]:
+        return {self.tokens[i].as_py().decode(): i for i in self.special_ids.tolist()}
+
+
+def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(flat)])
 
 
 def slot_of(key: np.ndarray) -> np.ndarray:
@@ -83,56 +99,41 @@ def load_vocabulary(path: str) -> Vocabulary:
         tokens[i] = bytes(letters[c] for c in t)
     for t, i in special.items():
         tokens[i] = t.encode()
-    merges = {}
-    for rank, pair in enumerate(spec["model"]["merges"]):
-        a, b = pair if isinstance(pair, list) else pair.split(" ")
-        merges[ids[a] << 32 | ids[b]] = (rank, ids[a + b])
+    pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
+    pair_new = np.array([ids[a + b] for a, b in pairs] or [0], np.int64)
+    slot_key, slot_rank = np.full(SLOTS + 64, -1, np.int64), np.zeros(SLOTS + 64, np.int64)
+    keys = np.array([ids[a] << 32 | ids[b] for a, b in pairs], np.int64)
+    for rank, (key, at) in enumerate(zip(keys.tolist(), slot_of(keys).tolist(), strict=True)):
+        while slot_key[at] >= 0:  # taken: the next one
+            at += 1
+        slot_key[at], slot_rank[at] = key, rank
     by_byte = {b: ids[c] for c, b in letters.items()}
-    return Vocabulary([by_byte[b] for b in range(256)], merges, tokens, special)
+    return Vocabulary(np.array([by_byte[b] for b in range(256)], np.int64), slot_key, slot_rank, pair_new, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)], dtype=np.int64), np.array(sorted(special.values()), np.int64))
 
 
 def merge(word: bytes, v: Vocabulary) -> list[int]:
-    """The ids of one piece: of all neighbouring pairs the one of least rank is merged, leftmost first, until none is left."""
-    ids = [v.byte_ids[b] for b in word]
-    if len(ids) > 96:
-        return _merge_long(ids, v.merges)
-    get = v.merges.get
-    while len(ids) > 1:
-        best, new = min((get(a << 32 | b) or (1 << 60, 0) for a, b in zip(ids, ids[1:], strict=False)))
-        if best == 1 << 60:
-            break
-        out, i, n = [], 0, len(ids)
-        while i < n:
-            if i + 1 < n and (m := get(ids[i] << 32 | ids[i + 1])) and m[0] == best:
-                out.append(new)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
-
-
-def _merge_long(ids: list[int], merges: dict) -> list[int]:
-    """The same for long pieces: a heap of pairs over a linked list."""
+    """The ids of one piece: of all neighbouring pairs the one of least rank is merged, leftmost first, until none is
+    left. A heap of pairs over a linked list, so that a piece of any length takes little more than its length."""
+    ranks, new = v.ranks, v.pair_new
+    ids = v.byte_table[np.frombuffer(word, np.uint8)].tolist()
     n = len(ids)
     ahead, behind, version = [*range(1, n), -1], [-1, *range(n - 1)], [0] * n
-    heap = [(m[0], i, 0, 0, m[1]) for i in range(n - 1) if (m := merges.get(ids[i] << 32 | ids[i + 1]))]
+    heap = [(r, i, 0, 0) for i in range(n - 1) if (r := ranks.get(ids[i] << 32 | ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, vi, vj, new = heapq.heappop(heap)
+        rank, i, vi, vj = heapq.heappop(heap)
         j = ahead[i]
         if version[i] != vi or j < 0 or version[j] != vj:
             continue
-        ids[i], version[i], version[j] = new, vi + 1, -1
+        ids[i], version[i], version[j] = int(new[rank]), vi + 1, -1
         ahead[i] = ahead[j]
         if ahead[i] >= 0:
             behind[ahead[i]] = i
         for a, b in ((behind[i], i), (i, ahead[i])):
-            if a >= 0 and b >= 0 and (m := merges.get(ids[a] << 32 | ids[b])):
-                heapq.heappush(heap, (m[0], a, version[a], version[b], m[1]))
+            if a >= 0 and b >= 0 and (r := ranks.get(ids[a] << 32 | ids[b])) is not None:
+                heapq.heappush(heap, (r, a, version[a], version[b]))
     out, i = [], 0
-    while i >= 0:
+    while 0 <= i < n:
         out.append(ids[i])
         i = ahead[i]
     return out
@@ -191,8 +192,8 @@ def merge_many(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
 # The transducer
 
 
-def compile_lexicon(entries: dict[bytes, list[int]], path: str) -> None:
-    """Write the minimal acyclic transducer of ``entries`` to ``path``.
+def compile_lexicon(entries: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
+    """The minimal acyclic transducer of ``entries`` as flat arrays.
 
     Words are added in order; when the next word leaves a branch, its states are final and each is replaced by
     an equal one if there is one, so that suffixes are shared. Numbers on the arcs count the words before.
@@ -245,20 +246,27 @@ def compile_lexicon(entries: dict[bytes, list[int]], path: str) -> None:
     for s in order:
         ends[number[s]] = final[s]
     ids = [entries[w] for w in words]
-    parts = [np.array([t[k] for t in table], np.int64) for k in range(3)] + [ends, np.cumsum([0, *map(len, ids)], dtype=np.int64), np.array([i for x in ids for i in x], np.int64)]
-    with open(path, "wb") as f:
-        f.write(np.array([len(p) for p in parts], np.int64).tobytes())
-        for p in parts:
-            f.write(p.tobytes())
+    return {
+        "keys": np.array([t[0] for t in table], np.int64),
+        "to": np.array([t[1] for t in table], np.int64),
+        "out": np.array([t[2] for t in table], np.int64),
+        "final": ends,
+        "starts": np.cumsum([0, *map(len, ids)], dtype=np.int64),
+        "ids": np.array([i for x in ids for i in x], np.int64),
+    }
 
 
+@dataclass
 class Lexicon:
-    """A compiled transducer, mapped into memory."""
+    """A compiled transducer: arcs ``state << 8 | byte`` in order, where they lead and what they count, final states,
+    and the id sequences by the sum along a word's path."""
 
-    def __init__(self, path: str):
-        raw = np.memmap(path, np.int64, "r")
-        ends = np.cumsum([6, *raw[:6]])
-        self.keys, self.to, self.out, self.final, self.starts, self.ids = (raw[a:b] for a, b in zip(ends, ends[1:], strict=False))
+    keys: np.ndarray
+    to: np.ndarray
+    out: np.ndarray
+    final: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
 
     def lookup(self, words: list[bytes]) -> list[np.ndarray | None]:
         """The ids of each word, or none: all words walk the automaton together, a byte at a time."""
@@ -285,80 +293,111 @@ class Encoder:
     vocabulary: Vocabulary
     lexicon: Lexicon | None = None
     literal_special: bool = False  # the special tokens' strings count as ordinary text
-    memo_words: int = 400_000
-    memo: dict[str, bytes] = field(default_factory=dict)
+    memo_bytes: int = MEMO_BYTES
+    words: dict[str, bytes] = field(default_factory=dict)  # a word after a space -> its ids
+    pieces: dict[str, bytes] = field(default_factory=dict)
+    held: int = 0
 
-    def _merged(self, pieces: list[str]) -> bytes:
-        if len(pieces) > 16:
-            return merge_many([p.encode() for p in pieces], self.vocabulary)[0].astype("<i4").tobytes()
-        return np.array([i for p in pieces for i in merge(p.encode(), self.vocabulary)], "<i4").tobytes()
+    def _remember(self, memo: dict[str, bytes], keys: list[str], values: list[bytes]) -> None:
+        memo.update(zip(keys, values, strict=True))
+        self.held += sum(map(len, keys)) + sum(map(len, values)) + 200 * len(keys)
 
-    def learn(self, words: set[str]) -> None:
+    def _merge_lists(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of lists of pieces, merged many at a time within bounded memory."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(lists):
+            upto, size = at, 0
+            while upto < len(lists) and size < MERGED_BYTES:
+                size += sum(map(len, lists[upto]))
+                upto += 1
+            part = [p.encode() for x in lists[at:upto] for p in x]
+            long = [k for k, p in enumerate(part) if len(p) > LONG_PIECE]
+            ids, n = merge_many([b"" if len(p) > LONG_PIECE else p for p in part], self.vocabulary)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            raw = ids.astype("<i4").tobytes()
+            found = [raw[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+            for k in long:
+                found[k] = np.array(merge(part[k], self.vocabulary), "<i4").tobytes()
+            k = 0
+            for x in lists[at:upto]:
+                out.append(found[k] if len(x) == 1 else b"".join(found[k : k + len(x)]))
+                k += len(x)
+            at = upto
+        return out
+
+    def _learn_words(self, words: set[str]) -> None:
         """Words that follow a space: from the lexicon, or else merged."""
-        words = sorted(words)
-        known = self.lexicon.lookup([b" " + w.encode() for w in words]) if self.lexicon else [None] * len(words)
-        unseen = []
-        for w, ids in zip(words, known, strict=True):
-            if ids is None:
-                unseen.append(w)
-            else:
-                self.memo[w] = ids.astype("<i4").tobytes()
-        cut = [_CUT.findall(" " + w) for w in unseen]
-        ids, size = merge_many([p.encode() for c in cut for p in c], self.vocabulary)
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])]
-        raw, ends = ids.astype("<i4").tobytes(), (4 * ends).tolist()
-        self.memo.update(zip(unseen, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        new = sorted(words)
+        known = self.lexicon.lookup([b" " + w.encode() for w in new]) if self.lexicon else [None] * len(new)
+        seen = [(w, x.astype("<i4").tobytes()) for w, x in zip(new, known, strict=True) if x is not None]
+        self._remember(self.words, [w for w, _ in seen], [x for _, x in seen])
+        unseen = [w for w, x in zip(new, known, strict=True) if x is None]
+        self._remember(self.words, unseen, self._merge_lists([_CUT.findall(" " + w) for w in unseen]))
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
+        if new:
+            self._remember(self.pieces, new, self._merge_lists([[p] for p in new]))
+
+    def _cut(self, text: str) -> list[bytes]:
+        """The ids of each piece of a text."""
+        pieces = _CUT.findall(text)
+        self._learn_pieces(pieces)
+        return list(map(self.pieces.__getitem__, pieces))
 
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         head, *rest = text.split(" ")
-        cells = list(map(self.memo.get, rest))
+        cells = list(map(self.words.get, rest))
         if None in cells:
             new = {w for w, c in zip(rest, cells, strict=True) if c is None}
             if any(not w or _BLANK.match(w) for w in new):  # a space before a space: the cuts depend on what follows
-                return self._merged(_CUT.findall(text))
-            self.learn(new)
-            cells = list(map(self.memo.get, rest))
-        return self._merged(_CUT.findall(head)) + b"".join(cells)
+                return b"".join(self._cut(text))
+            self._learn_words(new)
+            cells = list(map(self.words.get, rest))
+        return b"".join([*self._cut(head), *cells])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        runs = [text]
+        runs = [(text, False)]
         for mark in () if self.literal_special else self.vocabulary.special:
             if mark in text:
-                runs = [x for run in runs for y in run.split(mark) for x in (mark, y)][1:] if len(runs) == 1 else runs
-        return b"".join(np.array([self.vocabulary.special[r]], "<i4").tobytes() if len(runs) > 1 and k % 2 else self._plain(r) for k, r in enumerate(runs))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Many texts; the words that are new in a group of texts are looked up together."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            upto, chars = at, 0
-            while upto < len(texts) and chars < GROUP_CHARS:
-                chars += len(texts[upto])
-                upto += 1
-            if len(self.memo) > self.memo_words:
-                self.memo.clear()
-            new: set[str] = set()
-            for t in texts[at:upto]:
-                new.update(set(t.split(" ")[1:]).difference(self.memo))
-            self.learn({w for w in new if w and not _BLANK.match(w)})
-            out += map(self.encode, texts[at:upto])
-            at = upto
-        return out
-
-
-_KEPT: dict[tuple, Encoder] = {}
-
-
-def kept_encoder(name: str, literal_special: bool, sent) -> Encoder:
-    """A worker's encoder for a lexicon: its tasks share what it has learned. Only the last one is kept."""
-    if (name, literal_special) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name, literal_special] = Encoder(sent.value, Lexicon(SparkFiles.get(name)), literal_special)
-    return _KEPT[name, literal_special]
+                runs = [x for run, is_mark in runs for x in ([(run, True)] if is_mark else _parted(run, mark))]
+        return b"".join(np.array([self.vocabulary.special[r]], "<i4").tobytes() if is_mark else self._plain(r) for r, is_mark in runs)
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and where each text's end (from 0). New words are looked up together."""
+        if self.held > self.memo_bytes:
+            self.words.clear()
+            self.pieces.clear()
+            self.held = 0
+        texts = [t or "" for t in texts]
+        new: set[str] = set()
+        for t in texts:
+            new.update(set(t.split(" ")[1:]).difference(self.words))
+        self._learn_words({w for w in new if w and not _BLANK.match(w)})
+        self._learn_pieces([p for t in texts for p in _CUT.findall(t.split(" ", 1)[0])])
+        ids = list(map(self.encode, texts))
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
+        return np.frombuffer(b"".join(ids), "<i4"), ends
+
+
+def _parted(run: str, mark: str) -> list[tuple[str, bool]]:
+    parts = run.split(mark)
+    return [(parts[0], False)] + [x for p in parts[1:] for x in ((mark, True), (p, False))]
+
+
+def joined(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """For each list of ids the concatenation of their entries in ``table``."""
+    took = table.take(pa.array(ids))
+    if not len(took):
+        return [b""] * (len(ends) - 1)
+    _, offsets, data = took.buffers()
+    at = np.frombuffer(offsets, np.int64)[ends]
+    view = memoryview(data) if data is not None else memoryview(b"")
+    return [bytes(view[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65536, longest: int = 64) -> list[str]:
@@ -379,17 +418,34 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65536, l
     return [] if cut is None else [r["w"] for r in counts.where(F.col("step") >= cut).select("w").collect()]
 
 
-def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", most: int = 65536) -> str:
-    """Compile the lexicon of ``docs`` and have Spark copy it to every executor (those started later too); its name there."""
-    entries = {}
-    for w in frequent_words(docs, text_col, most):
-        entries[(" " + w).encode()] = [i for p in _CUT.findall(" " + w) for i in merge(p.encode(), vocabulary)]
-    name = f"lexicon-{uuid.uuid4().hex}.fst"
-    served = tempfile.mkdtemp(prefix="feederflow-")  # the driver serves it to executors as long as it runs
-    atexit.register(shutil.rmtree, served, ignore_errors=True)
-    compile_lexicon(entries, f"{served}/{name}")
-    docs.sparkSession.sparkContext.addFile(f"{served}/{name}")
-    return name
+VOCABULARY = ("byte_table", "slot_key", "slot_rank", "pair_new", "token_bytes", "token_ends", "special_ids")
+
+
+def publish_encoder(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = 65536) -> str:
+    """Put the vocabulary and the lexicon of ``docs`` (``most`` words at most, 0: none) into one file that every
+    executor gets; the name for :func:`encoder_of`."""
+    vocabulary = load_vocabulary(tokenizer)
+    arrays = {k: getattr(vocabulary, k) for k in VOCABULARY}
+    if most:
+        helper = Encoder(vocabulary)
+        words = frequent_words(docs, text_col, most)
+        ids = helper._merge_lists([_CUT.findall(" " + w) for w in words])
+        arrays |= compile_lexicon({(" " + w).encode(): np.frombuffer(x, "<i4").tolist() for w, x in zip(words, ids, strict=True)})
+    return publish(docs.sparkSession, "lexicon", arrays)
+
+
+def encoder_of(name: str, literal_special: bool = False) -> Encoder:
+    """A worker's encoder for a published file: its tasks share the mapped file and what they have learned."""
+
+    def make() -> Encoder:
+        x = published(name)
+        return Encoder(Vocabulary(*(x.pop(k) for k in VOCABULARY)), Lexicon(**x) if x else None, literal_special)
+
+    return kept(f"encoder-{literal_special}", name, make)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65536, literal_special: bool = False) -> DataFrame:
@@ -399,44 +455,58 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     their ids unless ``literal_special``. Rows without an id or with a repeated one are encoded like any other;
     columns besides the two are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    vocabulary = load_vocabulary(tokenizer)
-    name = ship_lexicon(docs, vocabulary, text_col, lexicon_words)
-    sent = spark.sparkContext.broadcast(vocabulary)
+    name = publish_encoder(docs, tokenizer, text_col, lexicon_words)
 
     def run(batches):
-        encoder = kept_encoder(name, literal_special, sent)
+        encoder = encoder_of(name, literal_special)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids = encoder.encode_all(texts)
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
+            for at, texts in slices(b.column(1)):
+                ids, ends = encoder.encode_all(texts)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), lists], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with ``text_col``, the text of ``ids_col``: special tokens stay, ids beyond the vocabulary and
     null ids give nothing, a null list gives null, and bytes that aren't UTF-8 become U+FFFD."""
-    from pyspark.sql import types as T
-
-    sent = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer).tokens)
-    at, names = encoded.columns.index(ids_col), encoded.columns
+    name = publish_encoder(encoded, tokenizer, most=0)
+
+    @F.arrow_udf("string")
+    def text(lists: pa.Array) -> pa.Array:
+        table = encoder_of(name).vocabulary.tokens
+        out = []
+        for at in range(0, len(lists), 256):
+            part = lists.slice(at, 256)
+            size = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ids = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            ok = (ids >= 0) & (ids < len(table))
+            before = np.concatenate([[0], np.cumsum(ok)])[np.concatenate([[0], np.cumsum(size)])]
+            out += [x.decode("utf-8", "replace") for x in joined(table, ids[ok], before)]
+        valid = lists.is_valid().to_pylist()
+        return pa.array([t if v else None for t, v in zip(out, valid, strict=True)], pa.string())
+
+    return encoded.select("*", text(F.col(ids_col)).alias(text_col))
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65536) -> DataFrame:
+    """``encode`` and ``decode`` in one worker, of which only digests leave it, one row per input row: ``doc_id``,
+    ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256`` (of the decoded text).
+
+    The same rules as for :func:`encode` hold; a null text counts as empty.
+    """
+    name = publish_encoder(docs, tokenizer, text_col, lexicon_words)
 
     def run(batches):
-        tokens = sent.value
-        n = len(tokens)
+        encoder = encoder_of(name)
+        v = encoder.vocabulary
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            lists = b.column(at)
-            flat, ends = lists.values, lists.offsets.to_pylist()
-            clean = flat.null_count == 0 and (len(flat) == 0 or 0 <= int(np.min(flat)) and int(np.max(flat)) < n)
-            texts = []
-            for k, ok in enumerate(lists.is_valid().to_pylist()):
-                ids = flat[ends[k] : ends[k + 1]].to_pylist() if not clean else flat[ends[k] : ends[k + 1]].to_numpy(zero_copy_only=False).tolist()
-                if not clean:
-                    ids = [i for i in ids if i is not None and 0 <= i < n]
-                texts.append(b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace") if ok else None)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(texts, pa.string())], [*names, text_col])
-
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())]))
+            for at, texts in slices(b.column(1)):
+                ids, ends = encoder.encode_all(texts)
+                numbers = [sha(x[1:]) for x in joined(v.decimals, ids, ends)]
+                decoded = [sha(x.decode("utf-8", "replace").encode()) for x in joined(v.tokens, ids, ends)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(np.diff(ends)), pa.array(numbers, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

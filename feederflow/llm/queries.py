@@ -20,21 +20,12 @@ def tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-SEPARATOR = 50256
-
-
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.document_tokens(documents(spark, sf_dir), tokenizer(), SEPARATOR)
+    return tokens.document_tokens(documents(spark, sf_dir), tokenizer())
 
 
 def op2_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(documents(spark, sf_dir))
-
-
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    """What a reader needs to compare encodings: the number and hash of the ids, the hash of the text they decode to."""
-    both = bpe.decode(bpe.encode(docs, tokenizer()), tokenizer())
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer())
 
 
 def op3_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,49 +10,51 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feederflow.llm.bpe import Encoder, load_vocabulary
-from feederflow.llm.common import stage, stage_path
+from feederflow.llm.bpe import encoder_of, load_vocabulary, publish_encoder
+from feederflow.llm.common import open_shared, slices, stage, stage_path
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a shared folder's path, and the path there."""
-    if "://" not in path and path.startswith("file:"):
-        path = "file://" + path[5:]
-    return pafs.FileSystem.from_uri(path)
+def width_of(tokenizer: str, separator: int | None = None) -> tuple[int, str]:
+    """The separator's id and the narrowest unsigned type that holds it and every id of the vocabulary.
+
+    Without a ``separator``, the vocabulary's ``<|endoftext|>`` serves, or else the first id beyond it.
+    """
+    v = load_vocabulary(tokenizer)
+    if separator is None:
+        separator = v.special.get("<|endoftext|>", len(v.tokens))
+    return separator, "<u2" if max(separator, len(v.tokens) - 1) < 1 << 16 else "<u4"
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", width: str = "<u2") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: int, width: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts into flat files in ``folder``, one for each partition of ``docs``.
 
     Returned, as a table: ``(file, n_bytes, ordinal, doc_id)``, where each document went. A file appears under its
     name only when complete, so a task that is run again leaves the same file. Null and empty texts are a
     separator alone. The separator's own string in a text is ordinary text, so no document holds a separator.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(load_vocabulary(tokenizer))
+    name = publish_encoder(docs, tokenizer, most=0)
 
     def run(batches):
-        fs, root = _open(folder)
+        fs, root = open_shared(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
-        name = f"tokens-{task.partitionId():06d}.bin"
-        part = f"{root}/_{name}.{task.taskAttemptId()}"
-        encoder = Encoder(sent.value, literal_special=True)
-        end = np.array([separator], width).tobytes()
-        ids = []
+        file = f"tokens-{task.partitionId():06d}.bin"
+        part = f"{root}/_{file}.{task.taskAttemptId()}"
+        encoder = encoder_of(name, literal_special=True)
+        went = []
         with fs.open_output_stream(part) as out:
             for b in batches:
-                for piece in encoder.encode_all([t or "" for t in b.column(1).to_pylist()]):
-                    out.write(np.frombuffer(piece, "<i4").astype(width).tobytes())
-                    out.write(end)
-                ids += b.column(0).to_pylist()
-        fs.move(part, f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array([fs.get_file_info(f"{root}/{name}").size] * len(ids), pa.int64()), pa.array(np.arange(len(ids))), pa.array(ids, pa.int64())], ["file", "n_bytes", "ordinal", "doc_id"])
+                for _, texts in slices(b.column(1)):
+                    ids, ends = encoder.encode_all(texts)
+                    out.write(np.insert(ids.astype(width), ends[1:], separator).astype(width).tobytes())
+                went.append(b.column(0))
+        fs.move(part, f"{root}/{file}")
+        n, size = sum(map(len, went)), fs.get_file_info(f"{root}/{file}").size
+        yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([size] * n, pa.int64()), pa.array(np.arange(n)), pa.concat_arrays(went) if went else pa.array([], pa.int64())], ["file", "n_bytes", "ordinal", "doc_id"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return stage(rows.mapInArrow(run, "file string, n_bytes bigint, ordinal bigint, doc_id bigint"), "token-files")
@@ -79,7 +81,7 @@ def count_tokens(files: DataFrame, folder: str, separator: int, width: str = "<u
     blocks = blocks.repartition(F.col("file"), F.col("block"))
 
     def run(batches):
-        fs, root = _open(folder)
+        fs, root = open_shared(folder)
         for b in batches:
             for name, size, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as f:
@@ -101,13 +103,14 @@ def count_tokens(files: DataFrame, folder: str, separator: int, width: str = "<u
     return seen.select("file", "ordinal", F.posexplode(sizes).alias("k", "n_tokens")).select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "n_tokens")
 
 
-def document_tokens(docs: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20) -> DataFrame:
+def document_tokens(docs: DataFrame, tokenizer: str, separator: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_tokens``; the texts go through flat token files in the shared folder.
 
     Null and empty texts count 0 tokens; rows without an id or with a repeated one count like any other; other
-    columns are not read; an empty table gives no rows.
+    columns are not read; an empty table gives no rows. Tokens take two bytes, or four where an id needs them.
     """
     folder = stage_path(docs.sparkSession, "flat-tokens")
-    went = write_token_files(docs, folder, tokenizer, separator, id_col, text_col)
-    counted = count_tokens(went, folder, separator, block_tokens=block_tokens).hint("merge")  # as long as the corpus, whatever the planner expects
+    separator, width = width_of(tokenizer, separator)
+    went = write_token_files(docs, folder, tokenizer, separator, width, id_col, text_col)
+    counted = count_tokens(went, folder, separator, width, block_tokens).hint("merge")  # as long as the corpus, whatever the planner expects
     return went.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -1,246 +1,213 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model (operator 6).
 
-The model is of characters, order ``ORDER``, and counts all of the trusted text. Counts, continuation counts,
-discounts and interpolated probabilities are grouped sums and joins on n-gram keys that Spark shards by hash. A document's
-n-grams meet the probabilities in shards of bounded size, by the last character of the context: every order of
-an n-gram and its back-off weights lie in one shard. A document is kept if its perplexity is at most its
-language's quantile of the trusted documents' perplexities.
+The model is of characters, order ``ORDER``: a symbol is a UTF-16 code unit, so that ``ORDER`` symbols fit a 64-bit
+key and every script is modelled. It counts all of the trusted text.
+
+Documents are read in blocks of neighbouring rows of a file. A first pass gives, for each block, its distinct
+n-grams with their counts in the trusted documents. All that follows are joins of count tables that Spark shards by
+hash: counts and continuation counts, discounts, contexts' totals and interpolated probabilities of every n-gram of
+the corpus, order by order, and at last the probabilities of each block's n-grams. Those are a table partitioned by
+block in the shared folder; a second pass over the documents looks up its own block there and adds up. So texts
+never cross a shuffle, no table is gathered on the driver or broadcast, and what a task reads is as large as its
+block. A document is kept if its perplexity is at most its language's quantile of the trusted documents'.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.common import stage
+from feederflow.llm.common import drop_stage, open_shared, slices, stage, stage_path
 
-ORDER = 5
-BITS = 8
-OTHER = 1  # 0 is the start of a text, 2.. the letters of the model
-GROUP_CHARS = 2_000_000
-BITMAP = 1 << 24
+ORDER = 4
+BITS = 16
+START = (1 << BITS) - 1  # stands before a text; U+FFFF is no character
+HELD = 4_000_000  # n-grams that a task holds before it passes them on
 
 
-def letters_of(texts: DataFrame) -> np.ndarray:
-    """The model's letters: the 254 code points that occur most in ``texts(text)``; a table from code point to symbol."""
-
-    def run(batches):
-        total = np.zeros(0x110000, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                x = np.frombuffer(t.encode("utf-32-le"), "<u4")
-                np.add(total, np.bincount(x, minlength=0x110000), out=total) if len(x) > 100_000 else np.add.at(total, x, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["c", "n"])
-
-    top = texts.mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit((1 << BITS) - 2).collect()
-    table = np.full(0x110000, OTHER, np.uint8)
-    table[[r["c"] for r in top]] = np.arange(2, 2 + len(top))
-    return table
-
-
-def grams_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram at every character of the texts, as ``ORDER`` symbols of ``BITS`` bits, and each text's number of them."""
-    raw = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts]
+def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at every symbol of the texts, as one number, and each text's number of symbols."""
+    raw = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
     size = np.array([len(x) for x in raw], np.int64)
-    pad = np.zeros(ORDER - 1, np.uint8)
-    x = np.concatenate([y for r in raw for y in (pad, table[r])] or [pad]).astype(np.int64)
-    g = np.zeros(max(0, len(x) - ORDER + 1), np.int64)
+    pad = np.full(ORDER - 1, START, np.uint16)
+    x = np.concatenate([y for r in raw for y in (pad, r)] or [pad]).astype(np.uint64)
+    g = np.zeros(max(0, len(x) - ORDER + 1), np.uint64)
     for k in range(ORDER):
-        g = g << BITS | x[k : len(x) - ORDER + 1 + k]
-    ends = np.cumsum(size + ORDER - 1)
+        g = g << np.uint64(BITS) | x[k : len(x) - ORDER + 1 + k]
     keep = np.ones(len(g), bool)
-    for e in ends[:-1]:  # windows that reach into the next text
+    for e in np.cumsum(size + ORDER - 1)[:-1].tolist():  # windows that reach into the next text
         keep[e - ORDER + 1 : e] = False
-    return g[keep], size
+    return g[keep].view(np.int64), size
 
 
-def _grouped(values: list, chars):
-    at = 0
-    while at < len(values):
-        upto, n = at, 0
-        while upto < len(values) and n < GROUP_CHARS:
-            n += chars(values[upto])
-            upto += 1
-        yield at, upto
-        at = upto
+def located(docs: DataFrame, block_rows: int) -> DataFrame:
+    """``docs`` with ``block`` and ``place``: neighbouring rows of a file have a block in common, in every scan.
 
+    A table that isn't a scan of Parquet files is written to the shared folder first.
+    """
+    at = [F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / block_rows)).alias("block"), (F.col("_metadata.row_index") % block_rows).cast("int").alias("place")]
+    try:
+        return docs.select("*", *at)
+    except AnalysisException:
+        return stage(docs, "documents").select("*", *at)
 
-def trusted_docs(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``trusted(id)``.
 
-    A bitmap of hashed ids, of fixed size, drops most others before the shuffle; the join decides.
-    """
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    words = trusted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("bits")).toArrow().to_pandas()
-    marks = np.zeros(BITMAP // 32, np.uint32)
-    marks[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast(marks)
-    rows = docs.withColumn("_bit", F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(BITMAP)))
-
-    def likely(batches):
-        for b in batches:
-            x = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-            on = (sent.value[x // 32] >> (x % 32).astype(np.uint32)) & 1 == 1
-            yield pa.RecordBatch.from_arrays(b.columns, names=b.schema.names).filter(pa.array(on))
+def _side_table(folder: str, block: int) -> pa.Table | None:
+    """The rows of one block of a table that is partitioned by block; none if it has none."""
+    fs, root = open_shared(f"{folder}/block={block}")
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".parquet")]
+    return pa.concat_tables([pq.read_table(p, filesystem=fs, partitioning=None) for p in sorted(found)]) if found else None
 
-    few = rows.where(F.col(id_col).isNotNull()).mapInArrow(likely, rows.schema).drop("_bit")
-    return few.join(trusted.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
 
+def _runs(block: np.ndarray):
+    """``(start, end)`` of the runs of rows with one block."""
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    return zip(cuts, cuts[1:], strict=False) if len(block) else ()
 
-def count_grams(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    """``(g, c)``: the counts of all n-grams of the highest order in ``texts(text)``."""
-    sent = texts.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches):
-        held, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            mine = b.column(0).to_pylist()
-            for at, upto in _grouped(mine, len):
-                g, c = np.unique(grams_of(mine[at:upto], sent.value)[0], return_counts=True)
-                both = np.concatenate([held, g])
-                held, inverse = np.unique(both, return_inverse=True)
-                count = np.bincount(inverse, np.concatenate([count, c]), len(held)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count)], ["g", "c"])
+def _trusted_places(folder: str, block: int) -> np.ndarray:
+    t = _side_table(folder, block)
+    return np.unique(t["place"].to_numpy()) if t is not None else np.zeros(0, np.int32)
 
-    return texts.mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
+def block_grams(docs: DataFrame, places: str) -> DataFrame:
+    """``(block, g, c)``: the distinct n-grams of each block of ``docs(block, place, text)`` with their counts in its trusted rows.
 
-def interpolate(counts: DataFrame) -> DataFrame:
-    """The model as ``(key, logp, backoff, last)`` from the counts of the highest order.
+    A block that several tasks read has rows from each of them.
+    """
+
+    def rows_of(held):
+        for block, (g, c) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g), pa.array(c)], ["block", "g", "c"])
 
-    ``key`` tells the order and the n-gram; ``logp`` is the interpolated log-probability of its last symbol,
-    ``backoff`` the log-weight that its symbols, as a context, leave to the next order; ``last`` is the symbol
-    that sets the shard (the context's last; for a pure context its own last).
+    def run(batches):
+        held: dict[int, tuple] = {}
+        last, trusted = None, None
+        for b in batches:
+            blocks, place = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi in _runs(blocks):
+                block = int(blocks[lo])
+                if block != last:
+                    last, trusted = block, _trusted_places(places, block)
+                good = np.isin(place[lo:hi], trusted)
+                for at, texts in slices(b.column(2).slice(lo, hi - lo)):
+                    g, size = grams_of(texts)
+                    mine = np.repeat(good[at : at + len(texts)], size)
+                    old, count = held.get(block, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    keys, inverse = np.unique(np.concatenate([old, g]), return_inverse=True)
+                    held[block] = keys, np.bincount(inverse, np.concatenate([count, mine]), len(keys)).astype(np.int64)
+                if sum(len(g) for g, _ in held.values()) > HELD:
+                    yield from rows_of(held)
+                    held.clear()
+        yield from rows_of(held)
+
+    return docs.select("block", "place", "text").mapInArrow(run, "block bigint, g bigint, c bigint")
+
+
+def interpolate(grams: DataFrame) -> DataFrame:
+    """``(g, p)``: the interpolated probability of the last symbol of every n-gram of ``grams(g, c)`` after the others.
+
+    ``c`` is its count in the trusted text, 0 for one that is only looked up. Order by order, a table holds all
+    ends of the n-grams; a context that the trusted text lacks leaves all to the next lower order.
     """
-    tables = {ORDER: counts}
+    tables = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         low = F.col("g").bitwiseAND((1 << BITS * k) - 1)
-        tables[k] = stage(tables[k + 1].groupBy(low.alias("g")).agg(F.count("*").alias("c")), f"continuations-{k}")
-    lower, parts = None, []
+        tables[k] = stage(tables[k + 1].groupBy(low.alias("g")).agg(F.count_if(F.col("c") > 0).alias("c")), f"continuations-{k}")
+    lower = None
     for k in range(1, ORDER + 1):
-        t = tables[k]
-        n1, n2, n3, n4 = t.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()
+        t, c = tables[k], F.col("c")
+        n1, n2, n3, n4 = t.agg(*[F.count_if(c == i) for i in (1, 2, 3, 4)]).first()
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         cut = [max(0.05, min(i - 0.05, i - (i + 1) * y * b / a)) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        t = t.withColumn("h", F.shiftright("g", BITS))
-        weight = sum((F.count_if((F.col("c") == i) if i < 3 else (F.col("c") >= 3)) * F.lit(d) for i, d in zip((1, 2, 3), cut, strict=True)), F.lit(0.0))
-        contexts = t.groupBy("h").agg(F.sum("c").alias("total"), weight.alias("left"))
-        contexts = contexts.select("h", "total", (F.col("left") / F.col("total")).alias("gamma"))
-        off = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
-        joined = t.join(contexts, "h")
+        off = F.when(c == 1, cut[0]).when(c == 2, cut[1]).when(c >= 3, cut[2]).otherwise(0.0)
+        t = t.withColumn("h", F.shiftrightunsigned("g", BITS)).withColumn("off", off)
+        contexts = t.where(c > 0).groupBy("h").agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
+        t = t.join(contexts, "h", "left")
         if lower is None:
-            joined = joined.withColumn("p0", F.lit(1.0 / (1 << BITS)))
+            t = t.withColumn("p0", F.lit(1.0 / (1 << BITS)))
         else:
-            joined = joined.withColumn("low", F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(lower, "low")
-        here = stage(joined.select("g", "h", "gamma", ((F.col("c") - off) / F.col("total") + F.col("gamma") * F.col("p0")).alias("p")), f"order-{k}")
-        lower = here.select(F.col("g").alias("low"), F.col("p").alias("p0"))
-        symbol = (1 << BITS) - 1
-        last = F.col("h").bitwiseAND(symbol) if k > 1 else F.lit(-1)
-        parts.append(here.select((F.lit(k << 56) + F.col("g")).alias("key"), F.log("p").alias("value"), last.cast("int").alias("last")))
-        parts.append(here.select((F.lit((k + 16) << 56) + F.col("h")).alias("key"), F.log("gamma").alias("value"), last.cast("int").alias("last")).distinct())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def log_probabilities(grams: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """``log P(last symbol | the others)`` of n-grams by a model's sorted ``keys``: the longest known order, after the weights of the unknown ones."""
-    out, todo = np.zeros(len(grams)), np.arange(len(grams))
-
-    def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return keys[at] == wanted, values[at]
-
-    for k in range(ORDER, 0, -1):
-        g = grams[todo] & ((1 << BITS * k) - 1)
-        hit, value = find((k << 56) + g)
-        out[todo[hit]] += value[hit]
-        todo, g = todo[~hit], g[~hit]
-        known, weight = find(((k + 16) << 56) + (g >> BITS))
-        out[todo[known]] += weight[known]
-    out[todo] -= np.log(1 << BITS)
-    return out
-
-
-def shards_of(model: DataFrame, shard_rows: int) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Shards ``(symbols, keys, values)``, filled up to about ``shard_rows`` rows; the lowest order is in each."""
-    sizes = {r["last"]: r["n"] for r in model.groupBy("last").agg(F.count("*").alias("n")).collect()}
-    packs: list[list[int]] = [[]]
-    held = 0
-    for s in sorted(x for x in sizes if x >= 0):
-        if packs[-1] and held + sizes[s] > shard_rows:
-            packs.append([])
-            held = 0
-        packs[-1].append(s)
-        held += sizes[s]
-    for pack in packs:
-        t = model.where(F.col("last").isin([-1, *pack])).select("key", "value").toArrow().to_pandas()
-        key, value = t["key"].to_numpy(np.int64), t["value"].to_numpy(np.float64)
-        order = np.argsort(key)
-        yield pack, key[order], value[order].astype(np.float32)
-
-
-def perplexities(docs: DataFrame, model: DataFrame, table: np.ndarray, id_col: str, text_col: str, shard_rows: int = 2_000_000) -> DataFrame:
-    """``(id, h, n, loss)`` for each text: its hash, its characters, and the sum of their negative log-probabilities."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = None
-    for first, (pack, keys, values) in enumerate(shards_of(model, shard_rows)):
-        sent = spark.sparkContext.broadcast((table, keys, values, pack))
-
-        def run(batches, sent=sent, first=first):
-            table, keys, values, pack = sent.value
-            mine = np.zeros(1 << BITS, bool)
-            mine[pack] = True
-            if first == 0:  # symbols that no context of the model ends in
-                mine |= ~np.isin(np.arange(1 << BITS), everyone)
-            for b in batches:
-                texts = b.column(2).to_pylist()
-                for at, upto in _grouped(texts, len):
-                    g, size = grams_of(texts[at:upto], table)
-                    kinds, inverse = np.unique(g, return_inverse=True)
-                    on = mine[(kinds >> BITS) & ((1 << BITS) - 1)]
-                    p = np.zeros(len(kinds))
-                    if len(keys):
-                        p[on] = log_probabilities(kinds[on], keys, values)
-                    sums = np.concatenate([[0.0], np.cumsum(p[inverse])])
-                    ends = np.cumsum(size)
-                    yield pa.RecordBatch.from_arrays([b.column(0)[at:upto], b.column(1)[at:upto], pa.array(size if first == 0 else 0 * size), pa.array(sums[ends - size] - sums[ends])], ["id", "h", "n", "loss"])
-
-        everyone = [r["last"] for r in model.select("last").distinct().collect()] if first == 0 else None
-        part = rows.mapInArrow(run, "id bigint, h bigint, n bigint, loss double")
-        out = part if out is None else out.unionAll(part)
-    return out.groupBy("id", "h").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
-
-
-def filter_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, shard_rows: int = 2_000_000) -> DataFrame:
+            t = t.withColumn("low", F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(lower.select(F.col("g").alias("low"), F.col("p").alias("p0")), "low")
+        p = F.when(F.col("total").isNull(), F.col("p0")).otherwise((c - F.col("off") + F.col("left") * F.col("p0")) / F.col("total"))
+        before, lower = lower, stage(t.select("g", p.alias("p")), f"order-{k}")
+        for done in (before, tables[k] if k < ORDER else None):
+            if done is not None:
+                drop_stage(done)
+    return lower
+
+
+def score(docs: DataFrame, places: str, answers: str) -> DataFrame:
+    """``(doc_id, lang, perplexity, trusted)`` for each row; ``answers`` holds the log-probabilities of each block's n-grams."""
+
+    def run(batches):
+        last, trusted, keys, logs = None, None, None, None
+        for b in batches:
+            blocks, place = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi in _runs(blocks):
+                block = int(blocks[lo])
+                if block != last:
+                    last, trusted = block, _trusted_places(places, block)
+                    t = _side_table(answers, block)
+                    keys = np.zeros(0, np.int64)
+                    if t is not None:
+                        keys, first = np.unique(t["g"].to_numpy(), return_index=True)
+                        logs = t["logp"].to_numpy()[first]
+                for at, texts in slices(b.column(4).slice(lo, hi - lo)):
+                    g, size = grams_of(texts)
+                    worth = np.full(len(texts), np.nan)
+                    if len(g):
+                        where = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
+                        if not len(keys) or (keys[where] != g).any():
+                            raise RuntimeError("the documents changed between the two passes")
+                        sums = np.concatenate([[0.0], np.cumsum(logs[where], dtype=np.float64)])
+                        ends = np.cumsum(size)
+                        some = size > 0
+                        worth[some] = np.exp((sums[ends - size] - sums[ends])[some] / size[some])
+                    a, e = lo + at, lo + at + len(texts)
+                    good = np.isin(place[a:e], trusted)
+                    yield pa.RecordBatch.from_arrays([b.column(2).slice(a, e - a), b.column(3).slice(a, e - a), pa.array(worth, mask=np.isnan(worth)), pa.array(good)], ["doc_id", "lang", "perplexity", "trusted"])
+
+    return docs.select("block", "place", "doc_id", "lang", "text").mapInArrow(run, "doc_id bigint, lang string, perplexity double, trusted boolean")
+
+
+def filter_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, block_rows: int = 16_384) -> DataFrame:
     """One row per input row: ``doc_id``, ``lang``, ``perplexity``, ``threshold``, ``kept``.
 
     ``trusted`` has the ids of trusted documents in a column ``id``. A language's threshold is the ``quantile`` of
     its trusted documents' perplexities; null is a language of its own, and a language without trusted documents
     takes the quantile of all of them. A null or empty text has no perplexity and is not kept. Without trusted
-    text there is no threshold and every text is kept. Rows that repeat an id and a text share their result;
-    rows without an id are never trusted. Other columns are not read.
+    text there is no perplexity and no threshold, and every text that isn't empty is kept. Rows that repeat an id
+    are judged like any other, trusted if the id is; rows without an id are never trusted. Other columns are not
+    read; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    trusted = stage(trusted.select(F.col("id").cast("bigint").alias("id")).where("id is not null").distinct(), "trusted")
-    good = stage(trusted_docs(docs, trusted, "doc_id").where("text is not null").select("text"), "trusted-text")
-    table = letters_of(good)
-    counts = stage(count_grams(good, table), "grams")
-    model = stage(interpolate(counts), "kneser-ney")
-    scored = perplexities(docs, model, table, "doc_id", "text", shard_rows)
-    scored = stage(scored.select("id", "h", F.when(F.col("n") > 0, F.exp(F.col("loss") / F.col("n"))).alias("perplexity")), "perplexities")
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.id")) & (F.col("d.h") == F.col("s.h"))
-    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("h")).alias("d").join(scored.alias("s"), same).select("d.doc_id", "d.lang", "s.perplexity")
-    rows = stage(rows, "scored")
-    known = rows.join(trusted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("perplexity is not null")
-    per_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
+    spark = docs.sparkSession
+    rows = located(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), block_rows)
+    good = trusted.select(F.col("id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    places, answers = stage_path(spark, "trusted-places"), stage_path(spark, "answers")
+    mine = rows.select("block", "place", "doc_id").join(good, "doc_id", "left_semi").select("block", "place")
+    mine.repartition("block").write.partitionBy("block").parquet(places)
+    found = stage(block_grams(rows, places), "block-grams")
+    grams = stage(found.groupBy("g").agg(F.sum("c").alias("c")), "grams")
+    if grams.where("c > 0").isEmpty():
+        answers = None
+    else:
+        p = interpolate(grams)
+        reply = found.select("block", "g").join(p, "g").select("block", "g", F.log("p").cast("float").alias("logp"))
+        reply.repartition("block").write.partitionBy("block").parquet(answers)
+        drop_stage(p)
+    drop_stage(grams)
+    drop_stage(found)
+    if answers is None:
+        none = F.lit(None).cast("double")
+        return rows.select("doc_id", "lang", none.alias("perplexity"), none.alias("threshold"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("kept"))
+    scored = stage(score(rows, places, answers), "scored")
+    known = scored.where("trusted and perplexity is not null")
+    per_lang = known.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     overall = known.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
-    out = rows.join(per_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
-    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
+    out = scored.join(per_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
+    return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

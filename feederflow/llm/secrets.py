@@ -1,9 +1,9 @@
 """Secret scans with an incremental blob ledger (operator 8).
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger is a table with a row for each
-scan of a blob: ``(blob, rules, spans)``, the rule versions applied and what they found. A run scans only the
-pairs of blob and rule version that the ledger lacks, appends them, and joins the findings back to every path
-(row) that holds the blob.
+scan of a blob: ``(blob, rules, spans)``, the rule versions applied and what each of them found. A run scans only
+the pairs of blob and rule version that the ledger lacks, appends them, and joins the findings of the present
+versions back to every path (row) that holds the blob.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.common import stage_path
+from feederflow.llm.common import exists, slices, stage, stage_path
 
 #: The base rules in the order in which ties are listed, then the rules that this operator adds.
 #: kind -> (version, pattern, group whose length is tested or 0, least length)
@@ -27,15 +27,16 @@ RULES = {
     "jwt": (1, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 1),
 }
 BASE = ("assign", "access", "hex")
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+LEDGER = "blob binary, rules array<string>, spans array<struct<start:int,end:int,rule:string>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule", pa.string())]))
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _HEX = np.zeros(256, np.uint8)
 _HEX[list(b"0123456789abcdef")] = 1
-_COMPILED = {k: re.compile(r[1].replace("(?ai:", "(?i:"), re.ASCII) for k, r in RULES.items()}
 
 
-def rule_ids(kinds=tuple(RULES)) -> list[str]:
-    return [f"{k}@{RULES[k][0]}" for k in kinds]
+def rule_ids(rules=RULES) -> list[str]:
+    """Each rule with its version, as the ledger names it."""
+    return [f"{k}@{r[0]}" for k, r in rules.items()]
 
 
 def _long_hex(b: bytes) -> bool:
@@ -44,36 +45,39 @@ def _long_hex(b: bytes) -> bool:
     return n > 0 and bool((_HEX[np.frombuffer(b, np.uint8, n)].view(np.uint64) == 0x0101010101010101).any())
 
 
-def likely(b: bytes) -> list[str]:
-    """The kinds that a text may hold, by searches much cheaper than the patterns; it never misses one."""
-    low = b.lower()
-    out = ["assign"] if any(x in low for x in _NAMES) else []
-    out += ["access"] * (b"AKIA" in b) + ["hex"] * _long_hex(b) + ["pem"] * (b"-----BEGIN " in b) + ["jwt"] * (b"eyJ" in b)
-    return out
+#: Searches much cheaper than the patterns, for kinds whose matches all have something simple in common.
+HINTS = {
+    "assign": lambda b: any(x in b.lower() for x in _NAMES),
+    "access": lambda b: b"AKIA" in b,
+    "hex": _long_hex,
+    "pem": lambda b: b"-----BEGIN " in b,
+    "jwt": lambda b: b"eyJ" in b,
+}
+
 
+def scan_text(b: bytes, rules: dict) -> list[tuple[int, int, str]]:
+    """``(start, end, rule)`` in code points; per kind the matches are leftmost and don't overlap.
 
-def scan_text(b: bytes, kinds: list[str]) -> list[tuple[int, int, int, str]]:
-    """``(start, rank, end, kind)`` in code points, sorted; per kind the matches are leftmost and don't overlap."""
-    kinds = [k for k in likely(b) if k in kinds]
-    if not kinds:
+    ``rules``: rule id -> (kind, compiled pattern, group whose length is tested, least length).
+    """
+    rules = {k: r for k, r in rules.items() if r[0] not in HINTS or HINTS[r[0]](b)}
+    if not rules:
         return []
     text = b.decode("utf-8", "replace")
-    order = list(RULES)
-    found = []
-    for k in kinds:
-        _, _, group, least = RULES[k]
-        found += [(m.start(), order.index(k), m.end(), k) for m in _COMPILED[k].finditer(text) if len(m[group]) >= least]
-    return sorted(found)
+    return [(m.start(), m.end(), k) for k, (_, pattern, group, least) in rules.items() for m in pattern.finditer(text) if len(m[group]) >= least]
 
 
-def _scan(batches):
-    kind_of = {f"{k}@{r[0]}": k for k, r in RULES.items()}
-    for b in batches:
-        todo = b.column(2).to_pylist()
-        spans = [scan_text(t, [kind_of[x] for x in want]) for t, want in zip(b.column(1).to_pylist(), todo, strict=True)]
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-        rows = [[dict(zip(("start", "rank", "end", "kind"), s, strict=True)) for s in x] for x in spans]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, kind)], ["blob", "rules", "spans"])
+def _scan(rules: dict):
+    def run(batches):
+        known = {f"{k}@{r[0]}": (k, re.compile(r[1].replace("(?ai:", "(?i:"), re.ASCII), r[2], r[3]) for k, r in rules.items()}
+        for b in batches:
+            for at, texts in slices(b.column(1)):
+                todo = b.column(2).slice(at, len(texts))
+                spans = [scan_text(t, {x: known[x] for x in want}) for t, want in zip(texts, todo.to_pylist(), strict=True)]
+                rows = [[dict(zip(("start", "end", "rule"), s, strict=True)) for s in x] for x in spans]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), todo, pa.array(rows, _SPANS)], ["blob", "rules", "spans"])
+
+    return run
 
 
 def blob_of(text_col: str):
@@ -81,35 +85,29 @@ def blob_of(text_col: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
-def update_ledger(docs: DataFrame, ledger: str | None = None, text_col: str = "text", kinds=tuple(RULES)) -> DataFrame:
-    """Scan the unseen pairs of blob and rule version of ``docs`` and return the ledger, one row per blob.
+def update_ledger(docs: DataFrame, ledger: str | None = None, text_col: str = "text", rules: dict = RULES) -> DataFrame:
+    """Scan the unseen pairs of blob and rule version of ``docs`` and return what the ledger holds for ``rules``.
 
     ``ledger``: the folder that keeps the ledger between runs; none starts an empty one in the shared folder.
     Copies are folded before the shuffle, so a text crosses it at most once from each task that reads it.
-    Returned: ``blob``, ``spans`` (found by ``kinds`` at their present versions).
+    Returned, one row per blob: ``blob``, ``spans`` (``start``, ``rank``, ``end``, ``kind``), in order, found by
+    the present versions of the rules; what older versions found stays in the ledger but does not count.
     """
     spark = docs.sparkSession
     path = ledger or stage_path(spark, "ledger")
-    wanted = rule_ids(kinds)
+    wanted = rule_ids(rules)
     want = F.array(*map(F.lit, wanted))
     blobs = docs.select(blob_of(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    schema = f"blob binary, rules array<string>, spans {SPAN}"
-    if ledger and _exists(spark, path):
-        seen = spark.read.schema(schema).parquet(path).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
+    if ledger and exists(spark, path):
+        seen = spark.read.schema(LEDGER).parquet(path).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
         blobs = blobs.join(seen, "blob", "left").select("blob", "text", F.array_except(want, F.coalesce("known", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
     else:
         blobs = blobs.withColumn("todo", want)
-    blobs.mapInArrow(_scan, schema).write.mode("append").parquet(path)
-    rows = spark.read.schema(schema).parquet(path)
-    current = F.array(*[F.lit(k) for k in kinds])
-    rows = rows.where(F.arrays_overlap("rules", want))
-    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter("spans", lambda s: F.array_contains(current, s["kind"]))))))
-    return rows.groupBy("blob").agg(spans.alias("spans"))
-
-
-def _exists(spark, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    blobs.mapInArrow(_scan(rules), LEDGER).write.mode("append").parquet(path)
+    rows = spark.read.schema(LEDGER).parquet(path).where(F.arrays_overlap("rules", want))
+    present = F.array_distinct(F.flatten(F.collect_list(F.filter("spans", lambda s: F.array_contains(want, s["rule"])))))
+    ranked = lambda s: F.struct(s["start"].alias("start"), F.array_position(want, s["rule"]).cast("int").alias("rank"), s["end"].alias("end"), F.substring_index(s["rule"], "@", 1).alias("kind"))
+    return rows.groupBy("blob").agg(present.alias("spans")).select("blob", F.array_sort(F.transform("spans", ranked)).alias("spans"))
 
 
 def _is(kind: str):
@@ -120,42 +118,44 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None) -> DataFrame:
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, rules: dict = RULES) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``.
 
     A null or empty text has no spans; rows that share a text share its findings; rows without an id are
-    returned like the others. Columns besides the id and the text are not read.
+    returned like the others. Columns besides the id and the text are not read; an empty table gives no rows. The
+    findings of a blob are a table of their own before they meet the paths, so that the paths of a text that
+    many rows hold can be split over tasks.
     """
     paths = docs.select(F.col(id_col).alias("doc_id"), blob_of(text_col).alias("blob"))
-    found = update_ledger(docs, ledger, text_col)
+    found = update_ledger(docs, ledger, text_col, rules)
     count = {k: F.size(F.filter("spans", _is(k))).cast("bigint").alias(f"n_{k}") for k in BASE}
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    per_blob = found.select("blob", *count.values(), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    per_blob = stage(found.select("blob", *count.values(), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")), "findings")
     return paths.join(per_blob, "blob", "left").drop("blob")
 
 
-def redact(docs: DataFrame, text_col: str = "text", ledger: str | None = None, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each span of a secret replaced by ``mark``; overlapping spans are replaced as one. All rows stay."""
-    found = update_ledger(docs, ledger, text_col).where(F.size("spans") > 0).select(F.col("blob").alias("_ledger_blob"), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("_ledger_spans"))
-    joined = docs.withColumn("_ledger_blob", blob_of(text_col)).join(found, "_ledger_blob", "left").drop("_ledger_blob")
-    at, spans = docs.columns.index(text_col), len(docs.columns)
+def redact(docs: DataFrame, text_col: str = "text", ledger: str | None = None, mark: str = "[secret]", rules: dict = RULES) -> DataFrame:
+    """``docs`` with each span of a secret replaced by ``mark``; overlapping spans are replaced as one.
 
-    def cut(batches):
-        for b in batches:
-            texts, marks = b.column(at), b.column(spans).to_pylist()
-            if any(marks):
-                new = [_blank(t, m, mark) if m else t for t, m in zip(texts.to_pylist(), marks, strict=True)]
-                texts = pa.array(new, texts.type)
-            cols = [texts if k == at else b.column(k) for k in range(spans)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:spans])
+    All rows stay, repeated ones and those with a null or empty text too; other columns are passed through.
+    """
+    found = update_ledger(docs, ledger, text_col, rules).where(F.size("spans") > 0)
+    names = [f"_{k}_" + "_".join(docs.columns) for k in ("blob", "spans")]
+    found = stage(found.select(F.col("blob").alias(names[0]), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(names[1])), "secret-spans")
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_blank(t, m, mark) if m else t for t, m in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    return joined.mapInArrow(cut, docs.schema)
+    joined = docs.withColumn(names[0], blob_of(text_col)).join(found, names[0], "left")
+    text = F.when(F.col(names[1]).isNull(), F.col(text_col)).otherwise(cut(F.when(F.col(names[1]).isNotNull(), F.col(text_col)), F.col(names[1])))
+    return joined.select(*[text.alias(c) if c == text_col else c for c in docs.columns])
 
 
 def _blank(text: str, spans: list[dict], mark: str) -> str:
     out, upto = [], 0
     for s in spans:
-        lo, hi = list(s.values())
+        lo, hi = s["start"], s["end"]
         if hi <= upto:
             continue
         if lo >= upto:

@@ -26,8 +26,14 @@ def directions(dim: int, tree: int, seed: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest components lie between 1/2 and 1: an exact step, after which
+    no product overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -81,10 +87,11 @@ def route(nodes: list[tuple], p: np.ndarray, spill: float) -> tuple[np.ndarray,
 
 
 def links_in_leaf(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, leaves: list, leaf: int, least: float, tile: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """``(links, root)``: for each vector its links that are counted in this leaf, and the smallest id it reaches there.
+    """``(links, root)``: for each vector its links that are counted in this leaf, and the first vector it reaches there.
 
     ``leaves`` lists each vector's leaves in ascending order; a pair is counted here if no smaller leaf holds both.
     """
+    x = scaled(x)
     norm = np.linalg.norm(x, axis=1)
     wide = max(map(len, leaves))
     before = np.full((len(ids), wide), -1, np.int64)
@@ -122,14 +129,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Only vectors with equal labels and lengths are compared. Null labels, vectors that are null, empty or zero or
     hold null or non-finite components, and rows without an id link with nothing: no links, their own id as
     component, kept (a row without an id has none and is not kept). Equal vectors are folded into one before
-    the trees and count as linked with each other; rows that repeat an id each count. ``sample_rows`` bounds the
-    sample on which the cuts are fitted; every vector is routed and compared. Other columns are not read.
+    the trees and count as linked with each other; rows that repeat an id each count, with the links of their own
+    vector. ``sample_rows`` bounds the sample on which the cuts are fitted; every vector is routed and compared.
+    Other columns are not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     ok = F.coalesce(usable("v") & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
     key = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(seed), "v", "label").alias("h2")]
-    classes = stage(rows.where(ok).select(*key, "id", "label", "v").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "vector-classes")
+    classes = stage(rows.where(ok).select(*key, "id", "label", "v").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("class", F.monotonically_increasing_id()), "vector-classes")  # the table fixes the numbers
     n = classes.count()
     share = min(1.0, sample_rows / max(1, n))
     sample = classes.where(F.pmod("h1", F.lit(1 << 30)) < int(share * (1 << 30))).select("label", "v").limit(4 * sample_rows).toArrow().to_pandas()
@@ -151,7 +159,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             pdf["dim"] = pdf["v"].map(len)
             for (label, dim), part in pdf.groupby(["label", "dim"]):
                 if (label, dim, 0) not in planted:  # a label so rare that the sample has none: one leaf of its own
-                    yield pd.DataFrame({"label": part["label"], "dim": part["dim"], "leaf": -1, "rep": part["rep"], "copies": part["copies"], "v": part["v"], "leaves": [[-1]] * len(part)})
+                    yield pd.DataFrame({"label": part["label"], "dim": part["dim"], "leaf": -1, "class": part["class"], "copies": part["copies"], "v": part["v"], "leaves": [[-1]] * len(part)})
                     continue
                 x = unit(np.stack(part["v"].to_numpy()))
                 met = []
@@ -163,23 +171,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 r, leaf = r[order], leaf[order]
                 of = np.split(leaf, np.flatnonzero(np.diff(r)) + 1)
                 took = part.iloc[r]
-                yield pd.DataFrame({"label": took["label"].to_numpy(), "dim": took["dim"].to_numpy(), "leaf": leaf, "rep": took["rep"].to_numpy(), "copies": took["copies"].to_numpy(), "v": took["v"].to_numpy(), "leaves": [of[k] for k in r]})
+                yield pd.DataFrame({"label": took["label"].to_numpy(), "dim": took["dim"].to_numpy(), "leaf": leaf, "class": took["class"].to_numpy(), "copies": took["copies"].to_numpy(), "v": took["v"].to_numpy(), "leaves": [of[k] for k in r]})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
+        pdf = pdf.sort_values("class", ignore_index=True)
         x = np.stack(pdf["v"].to_numpy())
-        ids = pdf["rep"].to_numpy(np.int64)
+        ids = pdf["class"].to_numpy(np.int64)
         links, label = links_in_leaf(ids, pdf["copies"].to_numpy(np.int64), x, list(pdf["leaves"]), int(pdf["leaf"].iloc[0]), least)
         some = (links > 0) | (label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[some], "b": ids[label[some]], "links": links[some]})
 
     kind = dict(classes.dtypes)["label"]
-    dealt = classes.select("label", "rep", "copies", "v").mapInPandas(deal, f"label {kind}, dim int, leaf bigint, rep bigint, copies bigint, v array<double>, leaves array<bigint>")
+    dealt = classes.select("label", "class", "copies", "v").mapInPandas(deal, f"label {kind}, dim int, leaf bigint, class bigint, copies bigint, v array<double>, leaves array<bigint>")
     met = stage(dealt.groupBy("label", "dim", "leaf").applyInPandas(meet, "a bigint, b bigint, links bigint"), "vector-links")
-    counted = met.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
-    groups = connected_components(met).select(F.col("node").alias("rep"), F.col("label").alias("component"))
-    found = classes.select("h1", "h2", "rep", "copies").join(counted, "rep", "left").join(groups, "rep", "left")
-    found = stage(found.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-groups")
+    counted = met.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("others"))
+    groups = connected_components(met).select(F.col("node").alias("class"), F.col("label").alias("group"))
+    found = classes.select("h1", "h2", "class", "rep", "copies").join(counted, "class", "left").join(groups, "class", "left")
+    found = stage(found.select("h1", "h2", "rep", F.coalesce("group", "class").alias("group"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "vector-groups")
+    lowest = found.groupBy("group").agg(F.min("rep").alias("component_id"))
+    found = stage(found.join(lowest, "group").select("h1", "h2", "n_links", "component_id"), "vector-components")
     keyed = rows.select("id", *[F.when(ok, k).alias(f"h{at + 1}") for at, k in enumerate(key)])
     out = keyed.join(found, ["h1", "h2"], "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.common import stage
+from feederflow.llm.common import row_keys, slices, stage
 from feederflow.llm.components import connected_components
 
 CHUNK = 1 << 16
@@ -44,15 +44,18 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed BIGINT."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, keys=()) -> DataFrame:
+    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed BIGINT. ``keys``: BIGINT columns to pass on."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *keys, F.col(text_col).cast("binary").alias("text"))
+    names = rows.columns[:-1]
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            for at, texts in slices(b.column(len(names))):
+                fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(texts))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(texts)) for k in range(len(names))), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "fp"]))
 
 
 # The trees
@@ -185,7 +188,16 @@ def linked_fingerprints(classes: DataFrame, radius: int = 4, bands: int = 3, sha
     return dealt.groupBy("band", "shard").applyInPandas(meet, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42, bands: int = 3) -> DataFrame:
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42, bands: int = 3, keys=()) -> tuple[DataFrame, DataFrame]:
+    """``(rows, groups)``: the fingerprint of every row, and ``(fp, rep, label)`` for every fingerprint, ``rep`` the
+    smallest id that has it, ``label`` one fingerprint of its group."""
+    fps = stage(fingerprints(docs, id_col, text_col, shingle, seed, keys), "fingerprints")
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
+    groups = connected_components(linked_fingerprints(classes, radius, bands, seed=seed))
+    return fps, classes.join(groups.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``, ``kept``.
 
     ``component_id`` is the smallest id that links of at most ``radius`` differing bits reach, itself included;
@@ -193,11 +205,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row without an id gets its group's component (null if no row of the group has an id) and is not kept.
     Rows that repeat an id are all returned. Other columns are not read; an empty table gives no rows.
     """
-    fps = stage(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
-    groups = connected_components(linked_fingerprints(classes, radius, bands, seed=seed))
-    labelled = classes.join(groups.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lowest = labelled.where("label <> fp or rep is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = labelled.join(lowest, "label", "left").select("fp", "component_id")
+    fps, groups = labelled(docs, id_col, text_col, **options)
+    lowest = groups.where("label <> fp or rep is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
+    of = groups.join(lowest, "label", "left").select("fp", "component_id")
     out = fps.join(of, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each group of near-duplicates: the one of smallest id, among equal
+    ids that of smallest hash, a row without an id only where no other has one. Rows equal in all columns are one.
+
+    A repeated id does not make two texts copies: each stays if its group is its own. All columns are passed on.
+    """
+    fps, groups = labelled(docs, id_col, text_col, keys=row_keys(docs.columns), **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row1", "row2"))
+    # By fingerprint before by group: a hot fingerprint is combined before it meets its group's label.
+    best = fps.groupBy("fp").agg(first.alias("best")).join(groups.select("fp", "label"), "fp")
+    stay = best.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row1").alias("row1"), F.col("best.row2").alias("row2"))
+    names = [f"_{k}_" + "_".join(docs.columns) for k in (1, 2)]
+    rows = docs.select("*", *(k.alias(n) for k, n in zip(row_keys(docs.columns), names, strict=True)))
+    kept = rows.join(stage(stay.toDF(*names), "stay"), names, "left_semi")
+    return kept.dropDuplicates(names).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feederflow.llm.common import kept, publish, published, slices, stage
+from feederflow.llm.common import kept, publish, published, slices, small_batches, stage
 
 #: Fixed value: how byte-level BPE cuts a text into pieces before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -424,6 +424,7 @@ VOCABULARY = ("byte_table", "slot_key", "slot_rank", "pair_new", "token_bytes",
 def publish_encoder(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = 65536) -> str:
     """Put the vocabulary and the lexicon of ``docs`` (``most`` words at most, 0: none) into one file that every
     executor gets; the name for :func:`encoder_of`."""
+    small_batches(docs.sparkSession)
     vocabulary = load_vocabulary(tokenizer)
     arrays = {k: getattr(vocabulary, k) for k in VOCABULARY}
     if most:

@@ -33,6 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: What Spark hands to a Python worker at a time, and with it what both sides hold: a worker reads one batch while it
+#: still has the one before, and Arrow's pool keeps what it once took.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches to those for whole texts, where they are higher."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key, "-1").rstrip("bB") or -1)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/feederflow/{name}-{uuid.uuid4().hex}"
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.common import kept, publish, published, slices
+from feederflow.llm.common import kept, publish, published, slices, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -188,6 +188,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     same in every run), and with it the model, which holds every word and n-gram of the sample. All languages
     count; more than ``MOST_LANGUAGES`` raise a ``ValueError``.
     """
+    small_batches(docs.sparkSession)
     usable = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     there = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
     langs = sorted(there)
@@ -212,6 +213,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def judged(text, model: Model, spark):
     """A column ``struct(pred, score)`` of a text column: only the text goes to a worker, in slices of bounded size."""
+    small_batches(spark)
     name = model.publish(spark)
 
     @F.arrow_udf("pred string, score double")

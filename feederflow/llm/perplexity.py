@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.common import drop_stage, open_shared, slices, stage, stage_path
+from feederflow.llm.common import drop_stage, open_shared, slices, small_batches, stage, stage_path
 
 ORDER = 4
 BITS = 16
@@ -186,6 +186,7 @@ def filter_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = located(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), block_rows)
     good = trusted.select(F.col("id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     places, answers = stage_path(spark, "trusted-places"), stage_path(spark, "answers")

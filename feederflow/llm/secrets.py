@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.common import exists, slices, stage, stage_path
+from feederflow.llm.common import exists, slices, small_batches, stage, stage_path
 
 #: The base rules in the order in which ties are listed, then the rules that this operator adds.
 #: kind -> (version, pattern, group whose length is tested or 0, least length)
@@ -94,6 +94,7 @@ def update_ledger(docs: DataFrame, ledger: str | None = None, text_col: str = "t
     the present versions of the rules; what older versions found stays in the ledger but does not count.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = ledger or stage_path(spark, "ledger")
     wanted = rule_ids(rules)
     want = F.array(*map(F.lit, wanted))

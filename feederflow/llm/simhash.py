@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.common import row_keys, slices, stage
+from feederflow.llm.common import row_keys, slices, small_batches, stage
 from feederflow.llm.components import connected_components
 
 CHUNK = 1 << 16
@@ -46,6 +46,7 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, keys=()) -> DataFrame:
     """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed BIGINT. ``keys``: BIGINT columns to pass on."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *keys, F.col(text_col).cast("binary").alias("text"))
     names = rows.columns[:-1]
 

@@ -42,7 +42,7 @@ def small_batches(spark: SparkSession) -> None:
     """Lower the session's limits on Arrow batches to those for whole texts, where they are higher."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(key, "-1").rstrip("bB") or -1)
+        now = int(spark.conf.get(key).rstrip("bB"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 

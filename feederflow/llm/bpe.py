@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feederflow.llm.common import kept, publish, published, slices, small_batches, stage
+from feederflow.llm.common import drop_stage, kept, publish, published, slices, small_batches, stage
 
 #: Fixed value: how byte-level BPE cuts a text into pieces before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -415,7 +415,9 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65536, l
         if held > most:
             break
         cut = r["step"]
-    return [] if cut is None else [r["w"] for r in counts.where(F.col("step") >= cut).select("w").collect()]
+    words = [] if cut is None else [r["w"] for r in counts.where(F.col("step") >= cut).select("w").collect()]
+    drop_stage(counts)
+    return words
 
 
 VOCABULARY = ("byte_table", "slot_key", "slot_rank", "pair_new", "token_bytes", "token_ends", "special_ids")

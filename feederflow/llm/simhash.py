@@ -124,7 +124,28 @@ def route(nodes: list[tuple], mask: int, r: int, x: np.ndarray) -> tuple[np.ndar
     return rows, shard, own[rows] == shard
 
 
-def stars(owned: np.ndarray, guests: np.ndarray, radius: int, tile: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+WIDE = 2048  # points in a shard from which its pairs are looked for among equal groups of bits
+
+
+def pair_blocks(points: np.ndarray, owned: int, radius: int, wide: int = WIDE):
+    """``(rows, columns)``: places in ``points`` that hold every pair within ``radius`` bits whose first is among the ``owned``.
+
+    A small shard is one block. In a large one a pair agrees in one of ``radius + 1`` groups of bits at least, so
+    the points that share the bits of a group are a block, and the cost grows with the shard, not with its square.
+    """
+    if len(points) <= wide:
+        yield np.arange(owned), np.arange(len(points))
+        return
+    for mask in band_masks(radius + 1):
+        part = points & np.uint64(mask)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        for block in np.split(order, cuts):
+            if len(block) > 1 and (block < owned).any():
+                yield block[block < owned], block
+
+
+def stars(owned: np.ndarray, guests: np.ndarray, radius: int, tile: int = 1 << 22, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join what is linked within a shard: each point with the smallest point it reaches there.
 
     All owned points are compared with each other and with the guests, in tiles of bounded memory. The links
@@ -132,7 +153,6 @@ def stars(owned: np.ndarray, guests: np.ndarray, radius: int, tile: int = 1 << 2
     """
     points = np.concatenate([owned, guests])
     label = np.arange(len(points))
-    step = max(1, tile // max(1, len(points)))
 
     def root(x: np.ndarray) -> np.ndarray:
         while True:
@@ -141,16 +161,18 @@ def stars(owned: np.ndarray, guests: np.ndarray, radius: int, tile: int = 1 << 2
                 return x
             x = up
 
-    for at in range(0, len(owned), step):
-        i, j = np.nonzero(np.bitwise_count(owned[at : at + step, None] ^ points[None, :]) <= radius)
-        i = i + at
-        i, j = i[i < j], j[i < j]
-        while len(i):
-            a, b = root(i), root(j)
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            if len(i):
-                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+    for rows, columns in pair_blocks(points, len(owned), radius, wide):
+        step = max(1, tile // max(1, len(columns)))
+        for at in range(0, len(rows), step):
+            i, j = np.nonzero(np.bitwise_count(points[rows[at : at + step], None] ^ points[None, columns]) <= radius)
+            i, j = rows[at + i], columns[j]
+            i, j = i[i != j], j[i != j]
+            while len(i):
+                a, b = root(i), root(j)
+                apart = a != b
+                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+                if len(i):
+                    np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
     top = root(np.arange(len(points)))
     linked = np.flatnonzero(top != np.arange(len(points)))
     return points[linked], points[top[linked]]

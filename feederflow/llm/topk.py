@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feederflow.llm.common import small_batches
+
 LONG = 2**63 - 1
 FAN = 64
 
@@ -21,8 +23,8 @@ def usable(vec: str):
     return F.col(vec).isNotNull() & ~F.coalesce(F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
 
 
-def _pack(rows: int, scale: int):
-    """Rows of ``(id, vector)`` to blocks of at most ``rows`` vectors of equal length: ids ascending, components ``floor(scale * x)``."""
+def _pack(most: int, scale: int):
+    """Rows of ``(id, vector)`` to blocks of at most ``most`` bytes of vectors of equal length: ids ascending, components ``floor(scale * x)``."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -42,7 +44,7 @@ def _pack(rows: int, scale: int):
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 mine = held.setdefault(len(v), [])
                 mine.append((i, v))
-                if len(mine) == rows:
+                if 8 * len(v) * (len(mine) + 1) > most:
                     yield block(len(v))
         for dim in sorted(held):
             yield block(dim)
@@ -78,19 +80,22 @@ def best_of(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int)
     return rows[place < k], cols[place < k]
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, shard_rows: int = 4096, block_rows: int = 1024, group_shards: int = 16) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, shard_bytes: int = 1 << 20, block_bytes: int = 1 << 18, group_shards: int = 16) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: each query's ``k`` best among the vectors with another id.
 
     Components count as ``floor(scale * x)`` in whole numbers. Vectors that are null or hold null or non-finite
     components, and rows without an id, take no part; vectors meet only those of their own length. Equal scores
     rank by the smaller id. Repeated rows are candidates of their own. Empty tables give no rows, other columns
-    are not read. Sums beyond a BIGINT are held at its ends.
+    are not read. Sums beyond a BIGINT are held at its ends. A tile is one block of queries, of ``block_bytes``,
+    against one shard, of ``shard_bytes``, however long the vectors are (one vector at least).
     """
     pick = lambda df: df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(usable("v") & F.col("id").isNotNull())
     schema = "block bigint, dim int, ids binary, data binary"
-    shards = pick(vectors).mapInArrow(_pack(shard_rows, scale), schema)
-    blocks = pick(queries).mapInArrow(_pack(block_rows, scale), schema)
-    n_shards = max(1, -(-vectors.count() // shard_rows))
+    small_batches(vectors.sparkSession)
+    shards = pick(vectors).mapInArrow(_pack(shard_bytes, scale), schema)
+    blocks = pick(queries).mapInArrow(_pack(block_bytes, scale), schema)
+    held = pick(vectors).agg(F.coalesce(F.sum(8 * F.size("v").cast("bigint")), F.lit(0))).first()[0]
+    n_shards = max(1, -(-held // shard_bytes))
     groups = max(1, -(-n_shards // group_shards))
     left = shards.select("dim", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g"), "block", "ids", "data")
     right = blocks.select("dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("g"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))

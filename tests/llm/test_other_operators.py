@@ -49,10 +49,10 @@ def test_likelihoods_are_a_distribution():
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = np.round(rng.standard_normal((90, 6)), 1)
-    x[50:70] = x[50]  # ties
+    x[50:70] = x[50]  # ties, and rows that are equal but for their id
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(200, None), (300, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (400, [float("nan")] * 6), (500, [1.0, 2.0]), (None, [1.0] * 6), (600, [1.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
-    got = topk.top_k(df.where("vec_id % 10 = 0"), df, k=5, shard_rows=16, block_rows=4, group_shards=2).collect()
+    got = topk.top_k(df.where("vec_id % 10 = 0"), df, k=5, shard_bytes=16 * 6 * 8, block_bytes=4 * 6 * 8, group_shards=2).collect()
     q = np.floor(1024 * x).astype(int)
     want = set()
     for i in range(0, 90, 10):
@@ -64,6 +64,13 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Each copy of a row is a candidate of its own, with the id that it repeats; a query's own id never counts."""
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0]), (0, [3.0])], "vec_id bigint, embedding array<double>")
+    got = topk.top_k(df.where("vec_id = 0 and embedding[0] = 1"), df, k=2).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 2 * 1024 * 1024), (0, 2, 1, 2 * 1024 * 1024)]
+
+
 def test_products_beyond_doubles_stay_whole():
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0]])
     assert int(topk.inner(q, c)[0, 0]) == 2**60 + 3

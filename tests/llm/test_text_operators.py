@@ -57,6 +57,19 @@ def test_trees_lose_no_pair():
     assert found == want
 
 
+def test_large_shards_lose_no_pair():
+    """A shard compared whole and by groups of bits gives the same groups, guests included."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2**63, 300).astype(np.uint64)
+    bits = np.uint64(1) << rng.integers(0, 63, (300, 4)).astype(np.uint64)
+    x = np.unique(np.concatenate([x, x ^ bits[:, 0] ^ bits[:, 1], x[:150] ^ bits[:150, 2] ^ bits[:150, 3], x[0] ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))]))
+    rng.shuffle(x)
+    owned, guests = np.sort(x[:500]), np.sort(x[500:])
+    whole, parts = simhash.stars(owned, guests, 4, wide=10**9), simhash.stars(owned, guests, 4, tile=64, wide=10)
+    assert len(whole[0]) > 200
+    assert sorted(zip(*map(np.ndarray.tolist, whole), strict=True)) == sorted(zip(*map(np.ndarray.tolist, parts), strict=True))
+
+
 def plain_spans(text):
     rules = [
         ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),

@@ -110,6 +110,18 @@ class Network:
         return cls(spark, tables, settings or Globals(), tuple(notes))
 
 
+#: What may be sent to every executor: bytes by the planner's estimate, else rows that were counted.
+SMALL_BYTES, SMALL_ROWS = 32 << 20, 2_000_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if its size allows it; otherwise as it is, so that a join shuffles both sides."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) <= SMALL_BYTES or df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return F.broadcast(df)
+    return df
+
+
 def is_transport(susceptance: str = "susceptance"):
     """A corridor without physics: its susceptance is not a positive finite number."""
     b = F.col(susceptance)

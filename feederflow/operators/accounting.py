@@ -102,11 +102,21 @@ def embodied(net: Network, built: DataFrame) -> DataFrame:
 
 
 def marginal_unit(net: Network, dispatch: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """``(t, gen_id, co2)``: the first part-loaded unit in order, else the cheapest idle one that could run."""
-    gens = net["generators"].select("gen_id", "p_nom", "marginal_cost", "co2_emissions")
-    each = gens.join(net["snapshots"].select("t")).join(dispatch, ["gen_id", "t"], "left").join(net["gen_availability"].withColumnRenamed("value", "available"), ["gen_id", "t"], "left")
-    mw, most = F.coalesce("mw", F.lit(0.0)), F.col("p_nom") * F.coalesce("available", F.lit(1.0))
-    part, idle = (mw > tolerance) & (mw < most - tolerance), (mw <= tolerance) & (most > tolerance)
-    each = each.withColumn("rank", F.when(part, 0).when(idle, 1)).where("rank is not null")
-    order = Window.partitionBy("t").orderBy("rank", F.when(F.col("rank") == 1, F.col("marginal_cost")), "gen_id")
-    return each.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("t", "gen_id", F.col("co2_emissions").alias("co2"))
+    """``(t, gen_id, co2)``: the first part-loaded unit in order, else the cheapest idle one that could run.
+
+    Only units that run, and those that cannot, are looked at in a snapshot: with the units numbered by cost, the
+    cheapest idle one has the first number that is missing among them.
+    """
+    gens = net["generators"].where(F.col("p_nom") > tolerance).select("gen_id", "p_nom", "co2_emissions", F.row_number().over(Window.orderBy("marginal_cost", "gen_id")).alias("rank"))
+    available = net["gen_availability"].withColumnRenamed("value", "available")
+    most = F.col("p_nom") * F.coalesce("available", F.lit(1.0))
+    running = dispatch.where(F.col("mw") > tolerance).join(gens, "gen_id").join(available, ["gen_id", "t"], "left")
+    part = running.where(F.col("mw") < most - tolerance).groupBy("t").agg(F.min("gen_id").alias("part"))
+    barred = available.join(gens, "gen_id").where(most <= tolerance).select("t", "rank")
+    taken = running.select("t", "rank").unionByName(barred).distinct()
+    place = taken.withColumn("n", F.row_number().over(Window.partitionBy("t").orderBy("rank")))
+    gap = place.groupBy("t").agg(F.coalesce(F.min(F.when(F.col("rank") > F.col("n"), F.col("n"))), F.count("*") + 1).cast("int").alias("rank"))
+    each = net["snapshots"].select("t").join(part, "t", "left").join(gap, "t", "left").withColumn("rank", F.coalesce("rank", F.lit(1)))
+    idle = gens.select("rank", F.col("gen_id").alias("idle"))
+    chosen = each.join(idle, "rank", "left").select("t", F.coalesce("part", "idle").alias("gen_id"))
+    return chosen.join(gens.select("gen_id", F.col("co2_emissions").alias("co2")), "gen_id").select("t", "gen_id", "co2")

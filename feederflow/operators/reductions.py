@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederflow.network import Network
+from feederflow.operators.topology import nearest_buses
 
 
 def _finite(c: str):
@@ -24,6 +25,21 @@ def dispatch_stack(generators: DataFrame, dispatch: DataFrame) -> DataFrame:
     return dispatch.join(generators.select("gen_id", "marginal_cost"), "gen_id").select("t", "gen_id", "mw", F.sum("mw").over(order).alias("top"))
 
 
+def full_stack(generators: DataFrame, dispatch: DataFrame, discharge: DataFrame) -> DataFrame:
+    """``(t, kind, id, mw, top)``: the merit order of generation with what reservoirs give (``discharge(storage_id, t, mw)``,
+    at least 0) on top, by number."""
+    made = dispatch.join(generators.select("gen_id", "marginal_cost"), "gen_id").select("t", F.lit("generator").alias("kind"), F.col("gen_id").alias("id"), "mw", "marginal_cost")
+    given = discharge.select("t", F.lit("storage").alias("kind"), F.col("storage_id").alias("id"), F.greatest("mw", F.lit(0.0)).alias("mw"), F.lit(float("inf")).alias("marginal_cost"))
+    order = Window.partitionBy("t").orderBy("kind", "marginal_cost", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return made.unionByName(given).select("t", "kind", "id", "mw", F.sum("mw").over(order).alias("top"))
+
+
+def label_order(net: Network, selected: list[int] = ()) -> DataFrame:
+    """``(bus_id, place)``: the order of labels with the selected buses first."""
+    w = label_weight(net).join(net["buses"].select("bus_id", "name"), "bus_id")
+    first = F.col("bus_id").isin(*selected) if selected else F.lit(False)
+    return w.select("bus_id", F.row_number().over(Window.orderBy(first.desc(), F.desc("weight"), "name", "bus_id")).alias("place"))
+
 def envelope(series: DataFrame, value: str = "value") -> DataFrame:
     """``(t, low, high, spread)`` over the finite values of a snapshot."""
     return series.where(_finite(value)).groupBy("t").agg(F.min(value).alias("low"), F.max(value).alias("high"), (F.max(value) - F.min(value)).alias("spread"))
@@ -117,6 +133,50 @@ def voltage_band(v: str):
     return out
 
 
+def line_voltage(net: Network) -> DataFrame:
+    """``(line_id, kv)``: the higher voltage of a line's two ends."""
+    ends = net["lines"].select("line_id", F.explode(F.array("bus0", "bus1")).alias("bus_id"))
+    return ends.join(net["buses"].select("bus_id", "v_nom"), "bus_id").groupBy("line_id").agg(F.max("v_nom").alias("kv"))
+
+
+def voltages_stated(buses: DataFrame) -> DataFrame:
+    """``(stated)``: whether the buses name two levels of 1 kV or more that differ."""
+    real = F.when(F.col("v_nom") >= 1.0, F.col("v_nom"))
+    return buses.agg(F.coalesce(F.max(real) - F.min(real) > 1e-6, F.lit(False)).alias("stated"))
+
+
+def shown_buses(buses: DataFrame, hidden: list[str] = (), only: str | None = None) -> DataFrame:
+    """The buses that a filter by country leaves: without the ``hidden`` ones, or those of ``only`` one country."""
+    if only is not None:
+        return buses.where(F.col("country") == only)
+    return buses.where(~F.coalesce(F.col("country").isin(*hidden), F.lit(False))) if hidden else buses
+
+
+def places_within(places: DataFrame, west: float, south: float, east: float, north: float, limit: int, rank: str = "rank") -> DataFrame:
+    """The first ``limit`` places by rank inside a box, its edges included."""
+    return places.where(F.col("x").between(west, east) & F.col("y").between(south, north)).orderBy(rank).limit(limit)
+
+
+def axis_fit(series: DataFrame, value: str = "value") -> DataFrame:
+    """``(low, high)`` of an axis for the finite values: zero is on it when any is negative, a flat series gets room,
+    and nothing at all gives 0 to 1."""
+    v = F.when(_finite(value), F.col(value))
+    ends = series.agg(F.coalesce(F.min(v), F.lit(0.0)).alias("low"), F.coalesce(F.max(v), F.lit(1.0)).alias("high"))
+    ends = ends.withColumn("high", F.when(F.col("low") < 0, F.greatest(F.col("high"), F.lit(0.0))).otherwise(F.col("high")))
+    room = F.when(F.abs(F.col("high") - F.col("low")) < 1e-9, F.greatest(F.abs("high"), F.lit(1.0)) * 0.1).otherwise(0.0)
+    return ends.select((F.col("low") - room).alias("low"), (F.col("high") + room).alias("high"))
+
+
+def population_weight(places: DataFrame, buses: DataFrame, within: float = 3.0, k: int = 5) -> DataFrame:
+    """``(bus_id, weight)``: 1, and of each place's population a share for its ``k`` nearest buses nearer than
+    ``within`` degrees, by the inverse of the squared distance (0.0025 at least)."""
+    near = nearest_buses(places.where("population > 0"), buses, within, k).where(F.col("distance") < within)
+    near = near.withColumn("share", 1 / F.greatest(F.col("distance") * F.col("distance"), F.lit(0.0025)))
+    part = F.col("population") * F.col("share") / F.sum("share").over(Window.partitionBy("place_id"))
+    got = near.join(places.select("place_id", "population"), "place_id").withColumn("w", part).groupBy("bus_id").agg(F.sum("w").alias("w"))
+    return buses.select("bus_id").join(got, "bus_id", "left").select("bus_id", (1 + F.coalesce("w", F.lit(0.0))).alias("weight"))
+
+
 def widen(series: DataFrame, names: DataFrame, key: str, value: str = "value", digits: int = 6) -> DataFrame:
     """A long series as a table with a column for each component name, as reports are written."""
     named = series.join(names.select(key, "name"), key)

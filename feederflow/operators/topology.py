@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -9,18 +10,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feederflow.network import SERIES, Network, is_transport
+from feederflow.network import SERIES, Network, conform, is_transport
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again, which cuts its lineage; where no folder is set it is left as it is, cached."""
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again, which cuts its lineage.
+
+    Where none is set, a session on one machine gets a folder of its own; on a cluster that is an error.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return df.cache()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="feederflow-")
+        spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/feederflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`shared_table` that nothing reads any more."""
+    if path := getattr(df, "_staged_at", None):
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def components_by_bus(net: Network) -> DataFrame:
@@ -62,6 +80,16 @@ def cost_factor(net: Network) -> DataFrame:
     return df.select("t", (F.col("weight") * F.coalesce("discount", F.lit(1.0)) * F.col("probability")).alias("factor"))
 
 
+def with_hvdc_ties(net: Network, ties: DataFrame) -> Network:
+    """``net`` with two one-way links for each of ``ties(name, bus_a, bus_b, p_nom, efficiency)``, numbered on from its links."""
+    both = F.array(F.struct(F.lit("_fwd").alias("way"), F.col("bus_a").alias("bus0"), F.col("bus_b").alias("bus1")), F.struct(F.lit("_rev").alias("way"), F.col("bus_b").alias("bus0"), F.col("bus_a").alias("bus1")))
+    ways = ties.select("name", "p_nom", "efficiency", F.inline(both))
+    last = net["links"].agg(F.coalesce(F.max("link_id"), F.lit(-1)).alias("last"))
+    number = F.row_number().over(Window.orderBy("name", "way"))
+    new = ways.withColumn("_n", number).join(last).select((F.col("last") + F.col("_n")).cast("int").alias("link_id"), F.concat("name", "way").alias("name"), "bus0", "bus1", "p_nom", "efficiency")
+    return net.with_tables(links=net["links"].unionByName(conform(new, "links")))
+
+
 def contingencies_all_lines(lines: DataFrame) -> DataFrame:
     return lines.where(~is_transport()).select("line_id")
 
@@ -70,19 +98,24 @@ def synchronous_areas(buses: DataFrame, lines: DataFrame, rounds: int = 64) -> D
     """``(bus_id, area)``: the buses that lines with physics connect share ``sync{smallest bus}``.
 
     Labels spread to neighbours and then to the label's own label, so a component of diameter d settles in
-    about log d rounds; the loop ends when nothing changes.
+    about log d rounds; the loop ends when nothing changes, and labels that still change after ``rounds`` are an error.
     """
     wires = lines.where(~is_transport()).select(F.col("bus0").alias("u"), F.col("bus1").alias("v"))
     wires = shared_table(wires.unionAll(wires.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "wires")
-    label = buses.select(F.col("bus_id").alias("u"), F.col("bus_id").alias("l"))
+    label, before = buses.select(F.col("bus_id").alias("u"), F.col("bus_id").alias("l")), None
     for _ in range(rounds):
         near = wires.join(label.select(F.col("u").alias("v"), F.col("l").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
         lower = label.join(near, "u", "left").select("u", "l", F.least("l", "other").alias("to"))
         hop = lower.select(F.col("u").alias("to"), F.col("to").alias("next"))
         new = shared_table(lower.join(hop, "to").select("u", F.col("l").alias("was"), F.least("to", "next").alias("l")), "areas")
-        label = new.select("u", "l")
+        if before is not None:
+            drop_table(before)
+        label, before = new.select("u", "l"), new
         if new.where("was <> l").isEmpty():
             break
+    else:
+        raise RuntimeError(f"areas did not settle in {rounds} rounds")
+    drop_table(wires)
     return label.select(F.col("u").alias("bus_id"), F.concat(F.lit("sync"), F.col("l").cast("string")).alias("area"))
 
 
@@ -115,37 +148,48 @@ def scatter_back(full: DataFrame, values: DataFrame, key: str, value: str = "val
     return full.select(key).join(values.select(key, value), key, "left").select(key, F.coalesce(value, F.lit(0.0)).alias(value))
 
 
-def outage_factors(lines: DataFrame, areas: DataFrame) -> DataFrame:
-    """``(monitored, outaged, factor, islanding)`` for all pairs of lines with physics in the same area.
+def outage_factors(lines: DataFrame, areas: DataFrame, outages: DataFrame | None = None) -> DataFrame:
+    """``(monitored, outaged, factor, islanding)`` for the lines with physics and the ``outages(line_id)`` in the same
+    area, by default those of all lines.
 
     The factor is the share of the outaged line's flow that moves to the monitored one. An outage that splits
-    its area is ``islanding`` and has factor 0. Each area is a dense matrix in one task.
+    its area is ``islanding`` and has factor 0. Each area is solved in one task, for its listed outages alone.
     """
     wires = lines.where(~is_transport()).join(areas.withColumnRenamed("bus_id", "bus0"), "bus0").select("area", "line_id", "bus0", "bus1", "susceptance")
+    if outages is None:
+        wires = wires.withColumn("listed", F.lit(True))
+    else:
+        named = outages.select("line_id").distinct().withColumn("_l", F.lit(True))
+        wires = wires.join(named, "line_id", "left").withColumn("listed", F.coalesce("_l", F.lit(False))).drop("_l")
+        wires = wires.join(wires.where("listed").select("area").distinct(), "area", "left_semi")
 
     def factors(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_id", ignore_index=True)
         names = np.unique(pdf[["bus0", "bus1"]].to_numpy())
         at, to = (np.searchsorted(names, pdf[c].to_numpy()) for c in ("bus0", "bus1"))
         b, n, m = pdf["susceptance"].to_numpy(float), len(names), len(pdf)
-        inc = np.zeros((m, n))
-        inc[np.arange(m), at] += 1
-        inc[np.arange(m), to] -= 1
-        inc = inc[:, 1:]  # the first bus is the reference
-        try:
-            inverse = np.linalg.inv(inc.T @ (b[:, None] * inc))
+        out = np.flatnonzero(pdf["listed"].to_numpy(bool))
+        injected = np.zeros((n, len(out)))
+        injected[at[out], np.arange(len(out))] += 1
+        injected[to[out], np.arange(len(out))] -= 1
+        nodal = np.zeros((n, n))
+        for i, j, v in ((at, at, b), (to, to, b), (at, to, -b), (to, at, -b)):
+            np.add.at(nodal, (i, j), v)
+        angle = np.zeros_like(injected)
+        try:  # the first bus is the reference
+            angle[1:] = np.linalg.solve(nodal[1:, 1:], injected[1:])
         except np.linalg.LinAlgError:
-            inverse = None
-        if inverse is None:
-            share, split = np.zeros((m, m)), np.ones(m, bool)
+            angle = None
+        if angle is None:
+            share, split = np.zeros((m, len(out))), np.ones(len(out), bool)
         else:
-            moved = b[:, None] * (inc @ inverse @ inc.T)
-            left = 1 - np.diag(moved)
+            moved = b[:, None] * (angle[at] - angle[to])
+            left = 1 - moved[out, np.arange(len(out))]
             split = np.abs(left) < 1e-6
             share = np.where(split[None, :], 0.0, moved / np.where(split, 1.0, left)[None, :])
-        i, j = np.nonzero(~np.eye(m, dtype=bool))
+        i, j = np.nonzero(np.arange(m)[:, None] != out[None, :])
         ids = pdf["line_id"].to_numpy()
-        return pd.DataFrame({"monitored": ids[i], "outaged": ids[j], "factor": share[i, j], "islanding": split[j]})
+        return pd.DataFrame({"monitored": ids[i], "outaged": ids[out[j]], "factor": share[i, j], "islanding": split[j]})
 
     return wires.groupBy("area").applyInPandas(factors, "monitored int, outaged int, factor double, islanding boolean")
 

@@ -27,7 +27,7 @@ class Tables:
 
 
 def buses(t: Tables) -> DataFrame:
-    df = t.nation.join(F.broadcast(t.region.limit(1000)), F.col("n_regionkey") == F.col("r_regionkey"))
+    df = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     x, y = (F.col("n_nationkey") * 7 % 40 - 10).cast("double"), (F.col("n_nationkey") * 11 % 30 + 35).cast("double")
     return df.select(F.col("n_nationkey").alias("bus_id"), F.col("n_name").alias("name"), F.col("n_name").alias("country"), F.col("r_name").alias("synchronous_area"), x.alias("x"), y.alias("y"))
 
@@ -122,6 +122,11 @@ def gen_availability(t: Tables) -> DataFrame:
     return wind.join(hours).select("gen_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("t")).select("gen_id", "t", ((F.col("t") * 7 + F.col("gen_id") * 13) % 100 / 100).alias("value"))
 
 
+def contingencies(t: Tables) -> DataFrame:
+    """Every seventh line with physics may fail."""
+    return lines(t).where("susceptance > 0 and line_id % 7 = 0").select("line_id")
+
+
 def storage_inflow(t: Tables) -> DataFrame:
     last = snapshots(t).agg(F.max("t").alias("last"))
     return storage_units(t).select("storage_id").join(last).select("storage_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("t")).select("storage_id", "t", ((F.col("t") * 3 + F.col("storage_id") * 5) % 17).cast("double").alias("value"))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feederflow.network import Network, is_transport
+from feederflow.network import Network, if_small, is_transport
 from feederflow.operators.topology import cost_factor, lines_by_bus, links_by_bus, outage_factors, period_of_snapshot, synchronous_areas
 
 INF = float("inf")
@@ -51,19 +51,19 @@ class Assembly:
 
     def __init__(self, net: Network):
         self.net = net
-        self.times = net["snapshots"].select("t", "weight")
+        self.times = if_small(net["snapshots"].select("t", "weight"))
         self.horizon = self.times.agg(F.count("*").cast("int").alias("n"))
-        self.factor = cost_factor(net)
-        self.periods = net["periods"].select("period", "discount")
+        self.factor = if_small(cost_factor(net))
+        self.periods = if_small(net["periods"].select("period", "discount"))
 
     # Shared pieces
 
     def _over(self, df: DataFrame) -> DataFrame:
-        """Components by snapshots: the horizon is one small table."""
-        return df.join(F.broadcast(self.times))
+        """Components by snapshots."""
+        return df.join(self.times)
 
     def _priced(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.factor), "t")
+        return df.join(self.factor, "t")
 
     def _with_series(self, df: DataFrame, series: str, key: str, name: str) -> DataFrame:
         """``df`` with a series' values, null where it has none."""
@@ -82,7 +82,7 @@ class Assembly:
     def _built(self, table: str, cid: str, family: str, ceiling: str) -> DataFrame:
         """A capacity column for each period and component that may grow; one period where none is stated."""
         some = self.periods.unionByName(self.periods.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(0).alias("period"), F.lit(1.0).alias("discount")))
-        df = self.net[table].where(F.col("s_nom_extendable" if table == "lines" else "p_nom_extendable")).join(F.broadcast(some))
+        df = self.net[table].where(F.col("s_nom_extendable" if table == "lines" else "p_nom_extendable")).join(some)
         return _columns(df, family, cid, 0.0, ceiling, F.col("capital_cost") * F.col("discount"), k="period", t=0)
 
     @staticmethod
@@ -186,10 +186,11 @@ class Assembly:
     # Rows: each family gives (family, id, k, t, lower, upper, terms)
 
     @staticmethod
-    def _row(df: DataFrame, family: str, rid, lower, upper, terms: list, k=0, t="t") -> DataFrame:
+    def _row(df: DataFrame, family: str, rid, lower, upper, terms: list, k=0, t="t", more: Column | None = None) -> DataFrame:
+        """Rows with the terms ``(term, condition)`` and those of the array ``more``."""
         c = lambda x: x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
         made = F.array(*[x if w is None else F.when(w, x) for x, w in terms]).cast(TERM)
-        return df.select(F.lit(family).alias("family"), c(rid).cast("bigint").alias("id"), c(k).cast("int").alias("k"), c(t).cast("int").alias("t"), c(lower).cast("double").alias("lower"), c(upper).cast("double").alias("upper"), F.filter(made, lambda x: x.isNotNull()).alias("terms"))
+        return df.select(F.lit(family).alias("family"), c(rid).cast("bigint").alias("id"), c(k).cast("int").alias("k"), c(t).cast("int").alias("t"), c(lower).cast("double").alias("lower"), c(upper).cast("double").alias("upper"), (F.filter(made, lambda x: x.isNotNull()) if more is None else F.concat(F.filter(made, lambda x: x.isNotNull()), more)).alias("terms"))
 
     @staticmethod
     def _term(family: str, cid, val, t="t", k=0, when=None) -> tuple[Column, Column | None]:
@@ -207,11 +208,13 @@ class Assembly:
             parts.append(t.select(F.lit("balance").alias("family"), F.col("bus_id").cast("bigint").alias("id"), F.lit(0).alias("k"), "t", F.lit(family).alias("cfamily"), F.col(cid).cast("bigint").alias("cid"), (F.lit(0) if k == 0 else F.col(k)).cast("int").alias("ck"), F.col("t").alias("ct"), val.cast("double").alias("val")))
 
         add("generators", net["generators"].select("gen_id", "bus_id"), "dispatch", "gen_id", F.lit(1.0))
-        add("lines", lines_by_bus(net["lines"]), "flow", "line_id", F.col("sign"))
+        add("lines", lines_by_bus(net["lines"].where("bus0 <> bus1")), "flow", "line_id", F.col("sign"))
         add("storage_units", net["storage_units"].select("storage_id", "bus_id"), "discharge", "storage_id", F.lit(1.0))
         add("storage_units", net["storage_units"].select("storage_id", "bus_id"), "charge", "storage_id", F.lit(-1.0))
-        add("links", links_by_bus(net["links"]), "link_flow", "link_id", F.col("coefficient"))
-        add("lines", lines_by_bus(net["lines"].where("loss > 0")), "line_loss", "line_id", F.lit(-0.5))
+        add("links", links_by_bus(net["links"].where("bus0 <> bus1")), "link_flow", "link_id", F.col("coefficient"))
+        add("links", net["links"].where("bus0 = bus1 and efficiency <> 1").select(F.col("bus0").alias("bus_id"), "link_id", (F.col("efficiency") - 1).alias("coefficient")), "link_flow", "link_id", F.col("coefficient"))
+        add("lines", lines_by_bus(net["lines"].where("loss > 0 and bus0 <> bus1")), "line_loss", "line_id", F.lit(-0.5))
+        add("lines", net["lines"].where("loss > 0 and bus0 = bus1").select(F.col("bus0").alias("bus_id"), "line_id"), "line_loss", "line_id", F.lit(-1.0))
         add("buses", net["buses"].select("bus_id"), "shed", "bus_id", F.lit(1.0))
         add("loads", net["loads"].where("interruptible_mw > 0 and max_interruptions > 0").select("load_id", "bus_id"), "interrupt_mw", "load_id", F.lit(1.0))
         add("loads", net["loads"].select("load_id", "bus_id", F.posexplode("value_tranches").alias("k", "x")).where("x.mw > 0"), "demand_tranche", "load_id", F.lit(1.0), "k")
@@ -230,28 +233,28 @@ class Assembly:
     def dc_flow(self) -> DataFrame:
         df = self._over(self.net["lines"].where(~is_transport()))
         b, rhs, x = F.col("susceptance"), -F.col("susceptance") * F.col("phase_shift"), self._term
-        return self._row(df, "dc_flow", "line_id", rhs, rhs, [x("flow", "line_id", 1.0), x("angle", "bus0", -b), x("angle", "bus1", b)])
+        return self._row(df, "dc_flow", "line_id", rhs, rhs, [x("flow", "line_id", 1.0), x("angle", "bus0", -b, when=F.col("bus0") != F.col("bus1")), x("angle", "bus1", b, when=F.col("bus0") != F.col("bus1"))])
 
     def storage_balance(self) -> DataFrame:
         x, net = self._term, self.net
         units = net["storage_units"]
         df = self._with_series(self._with_series(self._over(units).join(F.broadcast(self.horizon)), "storage_inflow", "storage_id", "inflow"), "head_profile", "storage_id", "head")
-        feeders = units.where("downstream_id is not null").groupBy(F.col("downstream_id").alias("storage_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("storage_id").alias("src"), F.col("travel_time").alias("lag"), F.col("spillable").alias("spills")))).alias("feeders"))
-        df = df.join(F.broadcast(feeders), "storage_id", "left")
+        itself_at_once = F.coalesce((F.col("downstream_id") == F.col("storage_id")) & (F.col("travel_time") == 0), F.lit(False))
+        feeders = units.where(F.col("downstream_id").isNotNull() & ~itself_at_once).groupBy(F.col("downstream_id").alias("storage_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("storage_id").alias("src"), F.col("travel_time").alias("lag"), F.col("spillable").alias("spills")))).alias("feeders"))
+        df = df.join(feeders, "storage_id", "left")
         w, start = F.col("weight"), (F.col("t") == 0) & F.col("soc_initial").isNotNull()
         linked = ~start & ((F.col("t") > 0) | F.col("cyclic"))
         itself = linked & (F.col("n") == 1)
         draw = w / F.col("efficiency_dispatch") / F.when(F.col("head") > 1e-6, F.col("head")).otherwise(1.0)
-        terms = [x("soc", "storage_id", 1.0, when=~itself), x("soc", "storage_id", -1.0, t=F.when(F.col("t") > 0, F.col("t") - 1).otherwise(F.col("n") - 1), when=linked & ~itself), x("charge", "storage_id", -F.col("efficiency_store") * w), x("discharge", "storage_id", draw, when=~self.banded()), x("spill", "storage_id", w, when=F.col("spillable"))]
+        terms = [x("soc", "storage_id", 1.0, when=~itself), x("soc", "storage_id", -1.0, t=F.when(F.col("t") > 0, F.col("t") - 1).otherwise(F.col("n") - 1), when=linked & ~itself), x("charge", "storage_id", -F.col("efficiency_store") * w), x("discharge", "storage_id", F.when(itself_at_once, draw - w).otherwise(draw), when=~self.banded()), x("spill", "storage_id", w, when=F.col("spillable") & ~itself_at_once)]
+        back = F.when(itself_at_once & self.banded(), F.array(x("discharge", "storage_id", -w)[0])).otherwise(F.array()).cast(TERM)
         rhs = F.coalesce("inflow", F.lit(0.0)) * w + F.when(start, F.col("soc_initial")).otherwise(0.0)
-        base = self._row(df, "storage", "storage_id", rhs, rhs, terms)
         level = lambda b: F.greatest(F.lit(1e-6), F.col("head_min_pu") + (1 - F.col("head_min_pu")) * (b + 0.5) / F.col("head_bands"))
         bands = F.when(self.banded(), F.transform(F.sequence(F.lit(0), F.greatest(F.col("head_bands"), F.lit(1)) - 1), lambda b: F.struct(F.lit("head_discharge").alias("cfamily"), F.col("storage_id").cast("bigint").alias("cid"), b.alias("ck"), F.col("t").alias("ct"), (w / F.col("efficiency_dispatch") / level(b)).alias("val")))).otherwise(F.array().cast(TERM)).cast(TERM)
         come = F.filter(F.coalesce("feeders", F.array().cast("array<struct<src:int,lag:int,spills:boolean>>")), lambda f: f["lag"] <= F.col("t"))
         arrive = lambda family: lambda f: F.struct(F.lit(family).alias("cfamily"), f["src"].cast("bigint").alias("cid"), F.lit(0).alias("ck"), (F.col("t") - f["lag"]).alias("ct"), (-w).alias("val"))
         arrivals = F.concat(F.transform(come, arrive("discharge")).cast(TERM), F.transform(F.filter(come, lambda f: f["spills"]), arrive("spill")).cast(TERM))
-        more = df.select(F.col("storage_id").cast("bigint").alias("id"), "t", F.concat(bands, arrivals).alias("more"))
-        return base.join(more, ["id", "t"]).select("family", "id", "k", "t", "lower", "upper", F.concat("terms", "more").alias("terms"))
+        return self._row(df, "storage", "storage_id", rhs, rhs, terms, more=F.concat(bands, arrivals, back))
 
     def _grown(self, family: str, cid: str, val) -> Column:
         """The capacity of all periods up to the snapshot's own."""
@@ -259,13 +262,8 @@ class Assembly:
 
     def _tied(self, df: DataFrame, family: str, cid: str, sides: list[tuple]) -> DataFrame:
         """Rows that tie a column to built capacity: ``(k, column, factor, lower, upper, when)`` each."""
-        df = df.join(F.broadcast(period_of_snapshot(self.times, self.net["periods"])), "t")
-        out = []
-        for k, column, factor, lower, upper, when in sides:
-            own = self._row(df if when is None else df.where(when), family, cid, lower, upper, [self._term(column, cid, 1.0)], k=k)
-            grown = df.select(F.col(cid).cast("bigint").alias("id"), "t", self._grown(family, cid, factor).alias("grown"))
-            out.append(own.join(grown, ["id", "t"]).select("family", "id", "k", "t", "lower", "upper", F.concat("terms", "grown").alias("terms")))
-        return _union(out)
+        df = df.join(if_small(period_of_snapshot(self.times, self.net["periods"])), "t")
+        return _union([self._row(df if when is None else df.where(when), family, cid, lower, upper, [self._term(column, cid, 1.0)], k=k, more=self._grown(family, cid, factor)) for k, column, factor, lower, upper, when in sides])
 
     def capacity_ties(self) -> DataFrame:
         net, parts, one = self.net, [], F.lit(1.0)
@@ -401,7 +399,7 @@ class Assembly:
         x, net = self._term, self.net
         areas = synchronous_areas(net["buses"], net["lines"])
         rated = net["lines"].where(~is_transport() & (F.abs("s_nom") != INF)).select(F.col("line_id").alias("monitored"), "s_nom")
-        pairs = outage_factors(net["lines"], areas).join(net["contingencies"].distinct().withColumnRenamed("line_id", "outaged"), "outaged").where("not islanding and abs(factor) >= 1e-9").join(rated, "monitored")
+        pairs = outage_factors(net["lines"], areas, net["contingencies"]).where("not islanding and abs(factor) >= 1e-9").join(rated, "monitored")
         return self._row(self._over(pairs), "security", "monitored", -F.col("s_nom"), "s_nom", [x("flow", "monitored", 1.0), x("flow", "outaged", "factor")], k="outaged")
 
     #: The families of rows by the table whose components they belong to.
@@ -428,26 +426,46 @@ class Assembly:
             if limit is not None and (families is None or name in families):
                 rows.append(self.net.spark.range(1).select(F.lit(name).alias("family"), F.lit(0).cast("bigint").alias("id"), F.lit(0).alias("k"), F.lit(0).alias("t"), F.lit(-INF).alias("lower"), F.lit(float(limit)).alias("upper")))
                 coef.append(self.budget_terms(name, per_mwh, per_mw))
-        merged = _union(coef).groupBy(*KEY, "cfamily", "cid", "ck", "ct").agg(F.sum("val").alias("val")).where("val <> 0")
-        return Model(self.columns(), _union(rows), merged)
+        # No family names a column twice in a row, so there is nothing to sum and the coefficients stay where they are made.
+        return Model(self.columns(), _union(rows), _union(coef).where("val <> 0"))
 
 
-def numbered(df: DataFrame, order: dict, number: str) -> DataFrame:
-    """``df`` with a dense number by family, component, sub-index and snapshot: block starts from a running sum over a small table."""
+#: Components whose blocks are numbered together; their starts are sums within such a range after the sum of all ranges before.
+RANGE = 4096
+
+
+def blocks(df: DataFrame, order: dict) -> DataFrame:
+    """``(family, id, k, start, t0, n)``: where the numbers of each family, component and sub-index begin.
+
+    A block's snapshots stand without gaps from ``t0``. The running sum is one of ranges of components, then one
+    within each range, so that no task sees all components.
+    """
     rank = lambda at: F.element_at(F.create_map(*[x for f, r in order.items() for x in (F.lit(f), F.lit(r[at] if isinstance(r, tuple) else r if at == 0 else 0))]), F.col("family"))
-    blocks = df.groupBy("family", "id", "k").agg(F.count("*").alias("n"), F.min("t").alias("t0")).withColumn("r", rank(0)).withColumn("s", rank(1))
-    running = Window.orderBy("r", "id", "s", "k").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("family", "id", "k").orderBy("t")) - 1
-    return df.withColumn("_p", place).join(F.broadcast(blocks.select("family", "id", "k", "start")), ["family", "id", "k"]).withColumn(number, F.col("start") + F.col("_p")).drop("start", "_p")
+    each = df.groupBy("family", "id", "k").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    gap = F.raise_error(F.format_string("%s %d has gaps in its snapshots", "family", "id")).cast("bigint")
+    each = each.withColumn("n", F.when(F.col("t1") - F.col("t0") + 1 == F.col("n"), F.col("n")).otherwise(gap)).drop("t1")
+    each = each.withColumn("r", rank(0)).withColumn("s", rank(1)).withColumn("range", F.floor(F.col("id") / RANGE))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = each.groupBy("r", "range").agg(F.sum("n").alias("n")).select("r", "range", before(Window.orderBy("r", "range")).alias("base"))
+    inside = before(Window.partitionBy("r", "range").orderBy("id", "s", "k"))
+    return each.withColumn("inside", inside).join(ranges, ["r", "range"]).select("family", "id", "k", (F.col("base") + F.col("inside")).alias("start"), "t0", "n")
+
+
+def numbered(df: DataFrame, order: dict, number: str) -> DataFrame:
+    """``df`` with a dense number by family, component, sub-index and snapshot: its block's start and its place there."""
+    return df.join(if_small(blocks(df, order).drop("n")), ["family", "id", "k"]).withColumn(number, F.col("start") + F.col("t") - F.col("t0")).drop("start", "t0")
 
 
 def triplets(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(cols, rows, coef)`` with dense numbers ``col`` and ``row``; ``coef`` is ``(row, col, val)``."""
-    cols, rows = numbered(model.cols, COLUMN_ORDER, "col"), numbered(model.rows, ROW_ORDER, "row")
-    coef = model.coef.join(rows.select(*KEY, "row"), KEY).drop(*KEY)
-    c = cols.select(F.col("family").alias("cfamily"), F.col("id").alias("cid"), F.col("k").alias("ck"), F.col("t").alias("ct"), "col")
-    return cols, rows, coef.join(c, ["cfamily", "cid", "ck", "ct"]).select("row", "col", "val")
+    """``(cols, rows, coef)`` with dense numbers ``col`` and ``row``; ``coef`` is ``(row, col, val)``.
+
+    A coefficient meets the two tables of blocks, which have a row for each component, and never the tables of
+    columns and rows. One that names a column that isn't there is left out.
+    """
+    cols, rows = blocks(model.cols, COLUMN_ORDER), blocks(model.rows, ROW_ORDER)
+    ends = cols.select(F.col("family").alias("cfamily"), F.col("id").alias("cid"), F.col("k").alias("ck"), F.col("start").alias("cstart"), F.col("t0").alias("c0"), F.col("n").alias("cn"))
+    coef = model.coef.join(if_small(rows.drop("n")), ["family", "id", "k"]).join(if_small(ends), ["cfamily", "cid", "ck"]).where("ct >= c0 and ct < c0 + cn")
+    return numbered(model.cols, COLUMN_ORDER, "col"), numbered(model.rows, ROW_ORDER, "row"), coef.select((F.col("start") + F.col("t") - F.col("t0")).alias("row"), (F.col("cstart") + F.col("ct") - F.col("c0")).alias("col"), "val")
 
 
 def compressed(coef: DataFrame, partitions: int | None = None) -> DataFrame:

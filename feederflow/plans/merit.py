@@ -26,8 +26,16 @@ def dispatch(generators: DataFrame, demand: DataFrame) -> DataFrame:
 
 
 def price_and_shed(generators: DataFrame, demand: DataFrame, value_of_lost_load: float) -> DataFrame:
-    """``(t, demand, price, shed)``: the cheapest cost whose stack covers the demand, or the value of lost load."""
+    """``(t, demand, price, shed)``: the cheapest cost whose stack covers the demand, or the value of lost load.
+
+    Demands and the ends of the stack's steps are sorted together: from the top down, the last step seen is the
+    one that covers a demand, so nothing is compared pair by pair.
+    """
     s = stack(generators)
     total = s.agg(F.coalesce(F.sum("p_nom"), F.lit(0.0)).alias("all"))
-    covered = demand.join(s, F.col("upto") >= F.col("demand"), "left").groupBy("t", "demand").agg(F.min("marginal_cost").alias("cost"))
-    return covered.join(F.broadcast(total)).select("t", "demand", F.coalesce("cost", F.lit(value_of_lost_load)).alias("price"), F.greatest(F.col("demand") - F.col("all"), F.lit(0.0)).alias("shed"))
+    none = F.lit(None)
+    steps = s.select(none.cast("int").alias("t"), F.col("upto").alias("at"), F.lit(0).alias("kind"), F.col("marginal_cost").alias("cost"), F.col("gen_id").cast("bigint").alias("place"))
+    asked = demand.select(F.col("t").cast("int").alias("t"), F.col("demand").alias("at"), F.lit(1).alias("kind"), none.cast("double").alias("cost"), none.cast("bigint").alias("place"))
+    down = Window.orderBy(F.desc("at"), "kind", F.desc("cost"), F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = steps.unionByName(asked).withColumn("price", F.last("cost", ignorenulls=True).over(down)).where("kind = 1")
+    return covered.join(total).select("t", F.col("at").alias("demand"), F.coalesce("price", F.lit(value_of_lost_load)).alias("price"), F.greatest(F.col("at") - F.col("all"), F.lit(0.0)).alias("shed"))

@@ -1,20 +1,23 @@
-"""Single-file cases: MATPOWER and the native JSON, and telling formats apart by what is in a file."""
+"""MATPOWER and the native JSON, and reading any format after telling it from what is in a file."""
 
 from __future__ import annotations
 
 import json
 import re
+from enum import Enum
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from feederflow.network import COMPONENTS, KEYS, Globals, Network
 from feederflow.operators.topology import synchronous_areas
-from feederflow.sources.tables import SourceError, _text, load_csv, load_parquet
-
-#: A corridor whose case states no rating.
-UNRATED = 1e6
-
+from feederflow.sources import cgmes
+from feederflow.sources.columns import cdf, ucte
+from feederflow.sources.draft import UNRATED, SourceError
+from feederflow.sources.powermodels import powermodels
+from feederflow.sources.psse import psse, rawx
+from feederflow.sources.tables import LIMITS, assemble, exists, load_csv, load_parquet, parse_csv, with_profiles
+from feederflow.sources.workbook import sheets_of
 
 def matrix(text: str, name: str) -> list[list[float]]:
     """``mpc.name = [...]`` as rows of numbers, comments dropped."""
@@ -64,8 +67,8 @@ def matpower(spark: SparkSession, text: str) -> Network:
         ends = known(r[0], f"branch row {k + 1}"), known(r[1], f"branch row {k + 1}")
         if r[10] <= 0:
             continue
-        flat += r[3] == 0
-        wires.append({"name": f"branch{k + 1}", "bus0": ends[0], "bus1": ends[1], "s_nom": r[5] if r[5] > 0 else UNRATED, "susceptance": base_mva / r[3] if r[3] else 0.0, "resistance": r[2], "reactance": r[3], "shunt_susceptance": r[4], "tap_ratio": r[8] or 1.0, "phase_shift": r[9] * 3.141592653589793 / 180})
+        flat += abs(r[3]) <= 1e-9
+        wires.append({"name": f"branch{k + 1}", "bus0": ends[0], "bus1": ends[1], "s_nom": r[5] if r[5] > 0 else UNRATED, "susceptance": 1 / r[3] if abs(r[3]) > 1e-9 else 0.0, "resistance": r[2], "reactance": r[3], "shunt_susceptance": r[4], "tap_ratio": r[8] or 1.0, "phase_shift": r[9] * 3.141592653589793 / 180})
     if flat:
         notes.append(f"{flat} branches without reactance are corridors")
     nodes = [{"name": f"bus{int(r[0])}", "g_shunt": r[4] / base_mva, "b_shunt": r[5] / base_mva, "v_nom": r[9], "v_max": r[11], "v_min": r[12]} for r in buses]
@@ -147,9 +150,55 @@ def to_native_json(net: Network) -> str:
     return json.dumps(out | {k: say(getattr(net.settings, k)) for k in Globals.__dataclass_fields__})
 
 
+class Format(Enum):
+    """The formats, by what they are called; ``value`` is the short name."""
+
+    CSV = "csv"
+    PARQUET = "parquet"
+    MATPOWER = "matpower"
+    PSSE = "psse"
+    RAWX = "rawx"
+    POWERMODELS = "powermodels"
+    NATIVE_JSON = "native_json"
+    CGMES = "cgmes"
+    UCTE = "ucte"
+    CDF = "cdf"
+    EXCEL = "excel"
+    NETCDF = "netcdf"
+
+    @property
+    def label(self) -> str:
+        return LABELS[self]
+
+    @property
+    def available(self) -> bool:
+        """netCDF needs a library that isn't here."""
+        return self is not Format.NETCDF
+
+
+LABELS = {
+    Format.CSV: "CSV folder", Format.PARQUET: "Parquet folder", Format.MATPOWER: "MATPOWER case", Format.PSSE: "PSS/E RAW", Format.RAWX: "PSS/E RAWX", Format.POWERMODELS: "PowerModels JSON", Format.NATIVE_JSON: "native JSON",
+    Format.CGMES: "CIM/CGMES", Format.UCTE: "UCTE-DEF", Format.CDF: "IEEE common data format", Format.EXCEL: "Excel workbook", Format.NETCDF: "netCDF",
+}
+#: Readers of a text.
+TEXTS = {Format.MATPOWER: matpower, Format.NATIVE_JSON: native_json, Format.PSSE: psse, Format.RAWX: rawx, Format.POWERMODELS: powermodels, Format.UCTE: ucte, Format.CDF: cdf}
+#: What a file name's ending tells where its contents don't.
+ENDINGS = {"m": "matpower", "raw": "psse", "rawx": "rawx", "uct": "ucte", "cdf": "cdf", "json": "native_json", "xml": "cgmes", "zip": "cgmes", "xlsx": "excel", "nc": "netcdf"}
+
+
+def psse_header(text: str) -> bool:
+    """Whether the first line is a PSS/E header: numbers, a positive base, a revision from 20 to 40."""
+    first = re.split(r"[,/]", text.lstrip("\ufeff \t\r\n").split("\n", 1)[0])
+    try:
+        float(first[0])
+        return float(first[1]) > 0 and len(first) > 2 and 20 <= float(first[2]) <= 40
+    except (ValueError, IndexError):
+        return False
+
+
 def sniff_text(text: str, extension: str = "") -> str | None:
     """The format of a text: its contents decide before its name does."""
-    head = text.lstrip("﻿ \t\r\n")
+    head = text.lstrip("\ufeff \t\r\n")
     if head.startswith("{"):
         if re.search(r'"network"\s*:', head) and '"fields"' in head:
             return "rawx"
@@ -158,37 +207,103 @@ def sniff_text(text: str, extension: str = "") -> str | None:
         return "cgmes"
     if "mpc.bus" in text or re.search(r"function\s+mpc", text):
         return "matpower"
-    if re.search(r"(?m)^##[CN]", text):
-        return "ucte"
-    if "BUS DATA FOLLOWS" in text:
+    if re.search(r"(?im)^BUS DATA FOLLOWS", text):
         return "cdf"
-    first = re.split(r"[,/]", head.split("\n", 1)[0])
-    try:
-        base, revision = float(first[1]), float(first[2]) if len(first) > 2 else 0
-        if base > 0 and 20 <= revision <= 40:
-            return "psse"
-    except (ValueError, IndexError):
-        pass
-    return {"m": "matpower", "raw": "psse", "rawx": "rawx", "uct": "ucte", "cdf": "cdf", "json": "native_json"}.get(extension.lower().lstrip("."))
+    if re.search(r"(?im)^##[NZ]", text) or re.search(r"(?m)^##C", text):
+        return "ucte"
+    if psse_header(text):
+        return "psse"
+    return ENDINGS.get(extension.lower().lstrip("."))
 
 
-def load_any(spark: SparkSession, path: str) -> Network:
-    """Any readable input: a folder of CSV or Parquet tables, or a single-file case."""
-    if _text(spark, f"{path}/buses.csv") is not None:
-        return load_csv(spark, path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/buses.parquet")
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return load_parquet(spark, path)
-    text = _text(spark, path)
-    if text is None:
+def sniff_bytes(content: bytes, extension: str = "") -> str | None:
+    """The format of a file's bytes: magic numbers, then its text."""
+    if content.startswith(b"PAR1"):
+        return "parquet"
+    if content.startswith((b"\x89HDF", b"CDF\x01", b"CDF\x02")):
+        return "netcdf"
+    if content.startswith(b"PK\x03\x04"):
+        return "excel" if b"xl/workbook" in content or extension.lower().endswith("xlsx") else "cgmes"
+    return sniff_text(content.decode("utf-8", "replace"), extension)
+
+
+def sniff_path(spark: SparkSession, path: str) -> str | None:
+    """The format of a folder by what it holds, of a file by its bytes."""
+    for kind, name in (("csv", "buses.csv"), ("parquet", "buses.parquet")):
+        if exists(spark, f"{path}/{name}"):
+            return kind
+    if not exists(spark, path):
         raise SourceError(f"{path}: nothing there")
-    kind = sniff_text(text, path.rpartition(".")[2])
-    readers = {"matpower": matpower, "native_json": native_json}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.getFileStatus(at).isDirectory():
+        names = [f.getPath().getName().lower() for f in fs.listStatus(at)]
+        return "cgmes" if any(n.endswith((".xml", ".zip")) for n in names) else None
+    return sniff_bytes(_content(spark, path), path.rpartition(".")[2])
+
+
+def _content(spark: SparkSession, path: str) -> bytes:
+    """A single-file case; its reader works on the driver."""
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def load_bytes(spark: SparkSession, content: bytes, name: str = "") -> Network:
+    """A single-file case from memory."""
+    kind = sniff_bytes(content, name.rpartition(".")[2])
+    if kind is None:
+        raise SourceError(f"{name or 'the input'}: no known format")
+    form = Format(kind)
+    if form in TEXTS:
+        net = TEXTS[form](spark, content.decode("utf-8-sig", "replace"))
+    elif form is Format.CGMES:
+        net = cgmes.case(spark, spark.createDataFrame([(name, bytearray(content))], "path string, content binary")).network
+    elif form is Format.EXCEL:
+        net = from_tables(spark, sheets_of(content))
+    else:
+        raise SourceError(f"{name or 'the input'}: {form.label} cannot be read" + ("" if form.available else "; its library is not there"))
+    return Network(net.spark, net.tables, net.settings, (f"read as {form.label}", *net.notes))
+
+
+def from_tables(spark: SparkSession, tables: dict[str, list[dict]], limits: dict | None = None) -> Network:
+    """A network from tables of rows by header: components, and series with a row for each snapshot."""
+
+    def wide(name):
+        rows = tables.get(name)
+        if not rows:
+            return None
+        cells = [[t, *(float(v) if str(v).strip() else None for v in r.values())] for t, r in enumerate(rows)]
+        return spark.createDataFrame(cells, "t int, " + ", ".join(f"`{c}` double" for c in rows[0]))
+
+    return with_profiles(assemble(spark, tables.get, limits=limits), wide)
+
+
+def load_files(spark: SparkSession, files: dict[str, bytes]) -> Network:
+    """A network from many files in memory by name: a folder of CSV tables, the documents of one CGMES model, or a single case."""
+    base = {name.replace("\\", "/").rpartition("/")[2]: content for name, content in files.items()}
+    if "buses.csv" in base:
+        say = lambda name: base[name].decode("utf-8-sig")
+        tables = {n[:-4]: parse_csv(say(n), n) for n in base if n.endswith(".csv")}
+        return from_tables(spark, tables, {k: float(say(f"{k}.txt")) for k in LIMITS if f"{k}.txt" in base})
+    documents = [(n, bytearray(c)) for n, c in base.items() if n.lower().endswith((".xml", ".zip"))]
+    if documents:
+        return cgmes.case(spark, spark.createDataFrame(documents, "path string, content binary")).network
+    if len(base) == 1:
+        name, content = next(iter(base.items()))
+        return load_bytes(spark, content, name)
+    raise SourceError("no buses.csv and no CGMES documents among the files")
+
+
+def load_any(spark: SparkSession, path: str) -> Network:
+    """Any readable input: a folder of CSV or Parquet tables or of CGMES documents, or a single-file case."""
+    kind = sniff_path(spark, path)
+    if kind is None:
+        raise SourceError(f"{path}: no known format")
+    readers = {"csv": load_csv, "parquet": load_parquet, "cgmes": cgmes.read}
     if kind not in readers:
-        raise SourceError(f"{path}: {kind or 'no known format'} cannot be read yet")
-    net = readers[kind](spark, text)
-    return Network(net.spark, net.tables, net.settings, (f"read as {kind}", *net.notes))
+        return load_bytes(spark, _content(spark, path), path)
+    net = readers[kind](spark, path)
+    return Network(net.spark, net.tables, net.settings, (f"read as {Format(kind).label}", *net.notes))
 
 
 def classify(files):

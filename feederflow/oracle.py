@@ -117,6 +117,80 @@ TWINS = {
         SELECT CAST(col AS BIGINT) AS col, count(*) AS n, CAST(min(row) AS BIGINT) AS first, sum(val) AS val FROM e GROUP BY col)"""),
 }
 
+INF = "'inf'::DOUBLE"
+
+
+def _terms(rows: str) -> str:
+    """Rows ``(id, k, t, lower, upper, cfamily, cid, ck, ct, val)`` in the types and to the places of the engine's."""
+    return f"""SELECT CAST(id AS BIGINT) AS id, CAST(k AS INT) AS k, CAST(t AS INT) AS t, round(CAST(lower AS DOUBLE), 6) AS lower, round(CAST(upper AS DOUBLE), 6) AS upper, cfamily, CAST(cid AS BIGINT) AS cid, CAST(ck AS INT) AS ck, CAST(ct AS INT) AS ct,
+        round(CAST(val AS DOUBLE), 6) AS val FROM ({rows}) AS r(id, k, t, lower, upper, cfamily, cid, ck, ct, val)"""
+
+
+def _family(name: str, lower: str, upper: str, rest: str, ints: int = 0) -> str:
+    """A line of the report on column families; bounds are summed in millionths, infinite ones left out."""
+    total = lambda x: f"coalesce(sum(CASE WHEN abs({x}) < {INF} THEN CAST(round({x} * 1e6) AS HUGEINT) END), 0)::DOUBLE / 1e6"
+    return f"SELECT '{name}' AS family, count(*) AS n, round({total(f'CAST({lower} AS DOUBLE)')}, 6) AS lower, round({total(f'CAST({upper} AS DOUBLE)')}, 6) AS upper, count(*) * {ints} AS ints FROM {rest} HAVING count(*) > 0"
+
+
+TWINS |= {
+    "consumption_by_country": ("loads facts gens buses", """SELECT country, round(sum(greatest(p_set - 1.0, 0.0) * i), 3) AS tonnes FROM loads JOIN (SELECT t, bus_id, sum(mw * co2) / sum(mw) AS i FROM facts JOIN gens USING (gen_id) GROUP BY 1, 2) USING (bus_id) JOIN buses USING (bus_id) GROUP BY country"""),
+    "losses_carbon": ("lines facts gens", """SELECT line_id, round(sum(mw * 0.5 * (p.i + q.i)), 3) AS tonnes FROM (SELECT line_id, bus0, bus1, t, abs((line_id * 31 + t * 17) % 41 - 20) * loss AS mw FROM lines, (SELECT DISTINCT t FROM facts))
+        JOIN (SELECT t, bus_id AS bus0, sum(mw * co2) / sum(mw) AS i FROM facts JOIN gens USING (gen_id) GROUP BY 1, 2) p USING (t, bus0) JOIN (SELECT t, bus_id AS bus1, sum(mw * co2) / sum(mw) AS i FROM facts JOIN gens USING (gen_id) GROUP BY 1, 2) q USING (t, bus1) WHERE mw > 0 GROUP BY line_id"""),
+    "embodied_carbon": ("gens", "SELECT round(coalesce(sum(p_nom / 2 * embodied), 0.0), 6) AS tonnes FROM gens WHERE ext"),
+    "line_loading": ("lines facts", """SELECT line_id, round(l, 6) AS loading, round(m, 6) AS mean_flow, coalesce(l >= 0.995, false) AS binding FROM (SELECT line_id, CASE WHEN line_id % 11 <> 0 AND line_id % 21 <> 0 THEN max(abs(f)) / (line_id % 21)::DOUBLE END AS l, avg(f) AS m
+        FROM (SELECT line_id, ((line_id * 31 + t * 17) % 41 - 20)::DOUBLE AS f FROM lines, (SELECT DISTINCT t FROM facts)) GROUP BY line_id)"""),
+    "mean_load": ("profile", "SELECT load_id, round(avg(value), 6) AS mean FROM profile WHERE value > 0 GROUP BY load_id HAVING count(*) > 10"),
+    "line_voltage_band": ("lines", """SELECT line_id, kv, CASE WHEN kv >= 500 THEN 500 WHEN kv >= 380 THEN 380 WHEN kv >= 300 THEN 300 WHEN kv >= 220 THEN 220 WHEN kv >= 110 THEN 110 ELSE 0 END AS band FROM (SELECT line_id, CAST(greatest(bus0 * 37 % 500, bus1 * 37 % 500) AS DOUBLE) AS kv FROM lines)"""),
+    "voltages_stated": ("buses", "SELECT count(DISTINCT bus_id * 37 % 500) FILTER (bus_id * 37 % 500 >= 1) >= 2 AS stated FROM buses"),
+    "shown_buses": ("buses", "SELECT 'hidden' AS filter, bus_id FROM buses WHERE area NOT IN ('ASIA', 'EUROPE') UNION ALL SELECT 'only', bus_id FROM buses WHERE area = 'ASIA'"),
+    "places_within": ("", """SELECT place_id, r AS rank FROM (SELECT s_suppkey AS place_id, s_suppkey * 37 % 400 / 10.0 - 10 AS x, s_suppkey * 53 % 300 / 10.0 + 35 AS y, s_suppkey * 7919 % 1000 * 10000 + s_suppkey AS r FROM supplier) WHERE x BETWEEN -5 AND 20 AND y BETWEEN 40 AND 60 ORDER BY r LIMIT 15"""),
+    "population_weight": ("buses", """SELECT bus_id, round(1 + coalesce(sum(w), 0.0), 3) AS weight FROM buses LEFT JOIN (SELECT bus_id, pop * share / sum(share) OVER (PARTITION BY place_id) AS w FROM (SELECT place_id, pop, bus_id, 1 / greatest(d * d, 0.0025) AS share, row_number() OVER (PARTITION BY place_id ORDER BY d, bus_id) AS k
+        FROM (SELECT s_suppkey AS place_id, s_suppkey * 1000.0::DOUBLE AS pop, bus_id, sqrt(pow(s_suppkey * 37 % 400 / 10.0::DOUBLE - 10 - x, 2) + pow(s_suppkey * 53 % 300 / 10.0::DOUBLE + 35 - y, 2)) AS d FROM supplier, buses) WHERE d < 3) WHERE k <= 5) USING (bus_id) GROUP BY bus_id"""),
+    "axis_fit": ("profile", "SELECT round(min(-value), 6) AS low, round(CASE WHEN min(-value) < 0 THEN greatest(max(-value), 0.0) ELSE max(-value) END, 6) AS high FROM profile"),
+    "full_stack": ("facts gens", """SELECT t, kind, id, mw, sum(mw) OVER (PARTITION BY t ORDER BY kind, cost, id ROWS UNBOUNDED PRECEDING) AS top FROM (SELECT t, 'generator' AS kind, gen_id AS id, mw, cost FROM facts JOIN gens USING (gen_id)
+        UNION ALL SELECT t, 'storage', 3, greatest(CAST(t % 7 - 2 AS DOUBLE), 0.0), 'inf'::DOUBLE FROM (SELECT DISTINCT t FROM facts))"""),
+    "label_order": ("buses gens loads incidence", """SELECT bus_id, CAST(row_number() OVER (ORDER BY CASE WHEN bus_id IN (7, 3) THEN 0 ELSE 1 END, weight DESC, name, bus_id) AS INT) AS place FROM (SELECT b.bus_id, name, coalesce(sum(w), 0.0) AS weight FROM buses b LEFT JOIN
+        (SELECT bus_id, 2 * p_nom AS w FROM gens UNION ALL SELECT bus_id, abs(p_set) FROM loads UNION ALL SELECT bus_id, 25.0 FROM incidence) p ON p.bus_id = b.bus_id GROUP BY b.bus_id, name)"""),
+    "hvdc_ties": ("links buses", """SELECT CAST(link_id AS INT) AS link_id, 'tie' || link_id AS name, bus0, bus1, p_nom, 0.97::DOUBLE AS efficiency FROM links UNION ALL SELECT CAST((SELECT max(link_id) FROM links) + row_number() OVER (ORDER BY name) AS INT), name, b0, b1, 500.0, round(e, 6) FROM (
+        SELECT 'dc' || bus_id || '_fwd' AS name, bus_id AS b0, bus_id + 10 AS b1, greatest(0.0, least(1.0, 1 - 0.03::DOUBLE * (bus_id * 200.0::DOUBLE) / 1000)) AS e FROM buses WHERE bus_id < 4 UNION ALL SELECT 'dc' || bus_id || '_rev', bus_id + 10, bus_id, greatest(0.0, least(1.0, 1 - 0.03::DOUBLE * (bus_id * 200.0::DOUBLE) / 1000)) FROM buses WHERE bus_id < 4)"""),
+    "contingencies_all_lines": ("lines", "SELECT line_id FROM lines WHERE b > 0"),
+    "first_appearance": ("gens", "SELECT carrier, min(gen_id) AS first FROM gens GROUP BY carrier"),
+    "scatter_back": ("gens", "SELECT gen_id, CASE WHEN gen_id % 3 = 0 THEN p_nom ELSE 0.0 END AS value FROM gens"),
+    "scalar_formulas": ("lines", """SELECT line_id, round(greatest(0.0, least(1.0, 1 - 0.03::DOUBLE * s_nom / 1000)), 6) AS dc, round(CASE WHEN z >= 1e-12 THEN r / z END, 6) AS g, round(CASE WHEN z >= 1e-12 THEN -x / z END, 6) AS b, round(greatest(1e-6::DOUBLE, 0.4 + (1 - 0.4::DOUBLE) * greatest(0.0, least(1.0, s_nom / 1000))), 6) AS head,
+        lo + hi AS slope, -lo * hi AS start, CASE WHEN kv >= 700 THEN 4000.0 WHEN kv >= 500 THEN 2500.0 WHEN kv >= 360 THEN 1700.0 WHEN kv >= 280 THEN 1200.0 WHEN kv >= 200 THEN 550.0 WHEN kv >= 100 THEN 180.0 ELSE 100.0 END::DOUBLE AS thermal,
+        round(greatest(0.5::DOUBLE, least(5000.0::DOUBLE, kv * kv / (0.3::DOUBLE * s_nom * 100.0) * 2.0)), 6) AS susceptance, CAST(greatest(-32767, least(32767, round(s_nom / 500.0::DOUBLE * 32767))) AS INT) AS steps
+        FROM (SELECT *, r * r + x * x AS z FROM (SELECT line_id, s_nom, line_id % 10 * 0.01::DOUBLE AS r, line_id % 3 * 0.1::DOUBLE AS x, -CAST(line_id % 5 AS DOUBLE) AS lo, CAST(line_id % 7 AS DOUBLE) AS hi, CAST(line_id % 8 * 100 AS DOUBLE) AS kv FROM lines))"""),
+    "envelope_planes": ("lines", """SELECT line_id, unnest([yl, yu, yl, yu]) AS a, unnest([xl, xu, xu, xl]) AS b, unnest([-xl * yl, -xu * yu, -xu * yl, -xl * yu]) AS c, unnest([true, true, false, false]) AS at_least
+        FROM (SELECT line_id, (line_id % 5)::DOUBLE AS xl, (line_id % 5 + 3)::DOUBLE AS xu, (line_id % 4)::DOUBLE AS yl, (line_id % 4 + 2)::DOUBLE AS yu FROM lines)"""),
+    "text_formulas": ("buses", """SELECT bus_id, x AS lon, y AS lat, round(ln(tan(pi() / 4 + radians(greatest(-85.0, least(85.0, y))) / 2)), 6) AS mercator, abs(x * 10) <= 180 AND abs(y) <= 90 AS placed, CAST(bus_id AS VARCHAR) AS kv, ['storage', 'lignite', 'coal', 'wind', 'other'][bus_id % 5 + 1] AS fuel,
+        substring(repeat(name, 40), 1, 255) AS cut, '&lt;a &amp; &apos;b&apos;&gt; ' || name AS xml, strftime(to_timestamp(bus_id * 86401)::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS time,
+        CASE WHEN bus_id % 3 = 0 THEN 'country' WHEN bus_id % 3 = 1 THEN 'region' WHEN bus_id * 10000 >= 100000 THEN 'city' ELSE 'town' END AS kind FROM buses"""),
+    "lp_rows_ties": ("avail gens pmap", _terms(f"""WITH u AS (SELECT *, p_min * a AS low FROM avail JOIN gens USING (gen_id) JOIN pmap USING (t) WHERE ext)
+        SELECT gen_id, 0, t, -{INF}, a * p_nom, 'dispatch', gen_id, 0, t, 1.0 FROM u UNION ALL SELECT gen_id, 0, t, -{INF}, a * p_nom, 'gen_capacity', gen_id, q, 0, -a FROM u, range(3) g(q) WHERE q <= period UNION ALL
+        SELECT gen_id, 1, t, low * p_nom, {INF}, 'dispatch', gen_id, 0, t, 1.0 FROM u WHERE p_min > 0 UNION ALL SELECT gen_id, 1, t, low * p_nom, {INF}, 'gen_capacity', gen_id, q, 0, -low FROM u, range(3) g(q) WHERE q <= period AND p_min > 0""")),
+    "lp_rows_shift": ("need loads horizon", _terms(f"""WITH u AS (SELECT l.*, t, mw, n, least(pu, 1.0) * mw AS most, CASE WHEN win = 0 OR win > n THEN n ELSE win END AS w FROM need JOIN loads l USING (load_id), horizon WHERE pu > 0 AND load_id IN (SELECT load_id FROM need WHERE mw > 0))
+        SELECT load_id, 0, t // w, 0.0, 0.0, 'load_shift', load_id, 0, t, 1.0 FROM u UNION ALL SELECT load_id, 1, t, -{INF}, 0.0, 'load_shift', load_id, 0, t, 1.0 FROM u WHERE shift_cost > 0 UNION ALL SELECT load_id, 1, t, -{INF}, 0.0, 'load_shift_abs', load_id, 0, t, -1.0 FROM u WHERE shift_cost > 0 UNION ALL
+        SELECT load_id, 2, t, -{INF}, 0.0, 'load_shift', load_id, 0, t, -1.0 FROM u WHERE shift_cost > 0 UNION ALL SELECT load_id, 2, t, -{INF}, 0.0, 'load_shift_abs', load_id, 0, t, -1.0 FROM u WHERE shift_cost > 0 UNION ALL SELECT load_id, 3, t, -most, most, 'load_shift', load_id, 0, t, 1.0 FROM u""")),
+    "lp_rows_interrupt": ("loads snaps", _terms(f"""WITH u AS (SELECT * FROM loads, snaps WHERE imw > 0 AND imax > 0) SELECT load_id, 0, t, -{INF}, 0.0, 'interrupt_mw', load_id, 0, t, 1.0 FROM u UNION ALL SELECT load_id, 0, t, -{INF}, 0.0, 'interrupt', load_id, 0, t, -imw FROM u UNION ALL SELECT load_id, 1, 0, -{INF}, imax, 'interrupt', load_id, 0, t, 1.0 FROM u""")),
+    "lp_rows_head": ("stores snaps horizon", _terms(f"""WITH u AS (SELECT *, p_nom * 0.5 / (p_nom * hours) AS slope, p_nom * 0.5 + CASE WHEN t = 0 AND soc0 IS NOT NULL THEN p_nom * 0.5 / (p_nom * hours) * soc0 ELSE 0.0 END AS top FROM stores, snaps, horizon)
+        SELECT storage_id, 0, t, -{INF}, top, 'discharge', storage_id, 0, t, 1.0 FROM u UNION ALL SELECT storage_id, 0, t, -{INF}, top, 'soc', storage_id, 0, CASE WHEN t = 0 THEN n - 1 ELSE t - 1 END, -slope FROM u WHERE t > 0 OR (soc0 IS NULL AND cyclic)""")),
+    "lp_rows_head_bands": ("stores snaps horizon", _terms(f"""WITH u AS (SELECT *, p_nom * hours AS e, t = 0 AND (soc0 IS NOT NULL OR NOT cyclic) AS fixed, CASE WHEN t = 0 THEN n - 1 ELSE t - 1 END AS prev FROM stores, snaps, horizon),
+        v AS (SELECT *, CASE WHEN b = least(floor(coalesce(soc0, 0.0) / e * 3), 2) THEN 1.0 ELSE 0.0 END AS pin FROM u, range(3) g(b))
+        SELECT storage_id, 0, t, 1.0, 1.0, 'head_band', storage_id, b, t, 1.0 FROM v UNION ALL SELECT storage_id, 1, t, 0.0, 0.0, 'discharge', storage_id, 0, t, 1.0 FROM u UNION ALL SELECT storage_id, 1, t, 0.0, 0.0, 'head_discharge', storage_id, b, t, -1.0 FROM v UNION ALL
+        SELECT storage_id, 2 + 4 * b, t, -{INF}, 0.0, 'head_discharge', storage_id, b, t, 1.0 FROM v UNION ALL SELECT storage_id, 2 + 4 * b, t, -{INF}, 0.0, 'head_band', storage_id, b, t, -p_nom FROM v UNION ALL SELECT storage_id, 3 + 4 * b, t, pin, pin, 'head_band', storage_id, b, t, 1.0 FROM v WHERE fixed UNION ALL
+        SELECT storage_id, 4 + 4 * b, t, -{INF}, e - e * b / 3, 'soc', storage_id, 0, prev, -1.0 FROM v WHERE NOT fixed UNION ALL SELECT storage_id, 4 + 4 * b, t, -{INF}, e - e * b / 3, 'head_band', storage_id, b, t, e FROM v WHERE NOT fixed UNION ALL
+        SELECT storage_id, 5 + 4 * b, t, -{INF}, e * (b + 1) / 3 + e, 'soc', storage_id, 0, prev, 1.0 FROM v WHERE NOT fixed UNION ALL SELECT storage_id, 5 + 4 * b, t, -{INF}, e * (b + 1) / 3 + e, 'head_band', storage_id, b, t, e FROM v WHERE NOT fixed""")),
+    "lp_cols": ("avail gens lines stores snaps links loads need buses", " UNION ALL ".join([
+        _family("dispatch", "CASE WHEN ext OR uc THEN 0.0 ELSE least(p_nom * p_min, p_nom * a) END", "CASE WHEN ext THEN 1000.0 * a ELSE p_nom * a END", "avail JOIN gens USING (gen_id)"),
+        _family("gen_capacity", "0", "1000", "gens, range(3) WHERE ext"), _family("flow", "-s_nom", "s_nom", "lines, snaps"), _family("soc", "0", "p_nom * hours", "stores, snaps"), _family("charge", "0", "p_nom", "stores, snaps"), _family("discharge", "0", "p_nom", "stores, snaps"),
+        _family("line_loss", "0", INF, "lines, snaps WHERE loss > 0"), _family("link_flow", "0", "p_nom", "links, snaps"), _family("interrupt", "0", "1", "loads, snaps WHERE imw > 0 AND imax > 0", 1), _family("interrupt_mw", "0", "imw", "loads, snaps WHERE imw > 0 AND imax > 0"),
+        _family("load_shift", "-m", "m", "(SELECT least(pu, 1.0) * greatest(max(mw) OVER (PARTITION BY load_id), 0.0) AS m FROM need JOIN loads USING (load_id) WHERE pu > 0) WHERE m > 0"),
+        _family("load_shift_abs", "0", INF, "need JOIN loads USING (load_id) WHERE pu > 0 AND shift_cost > 0 AND load_id IN (SELECT load_id FROM need WHERE mw > 0)"),
+        _family("status", "0", "1", "gens, snaps WHERE uc", 1), _family("start_up", "0", "1", "gens, snaps WHERE uc"), _family("shut_down", "0", "1", "gens, snaps WHERE uc"), _family("spill", "0", INF, "stores, snaps WHERE spills"), _family("shed", "0", INF, "buses, snaps"),
+        _family("angle", "CASE WHEN first THEN 0.0 ELSE -'inf'::DOUBLE END", "CASE WHEN first THEN 0.0 ELSE 'inf'::DOUBLE END", "(SELECT min(bus_id) OVER (PARTITION BY area) = bus_id AS first FROM buses), snaps"),
+    ])),
+}
+
 #: A column for each nation's load, as the report names them.
 TWINS["results_pivot"] = ("profile loads", "SELECT t, " + ", ".join(f"round(max(CASE WHEN load_id = {k} THEN value END), 6) AS load{k}" for k in range(25)) + " FROM profile JOIN loads USING (load_id) GROUP BY t")
 
@@ -137,7 +211,7 @@ def sql(name: str) -> str:
     ctes = [f"{p} AS ({PARTS[p][1]})" for p in ordered]
     if name == "lp_rows_balance":
         ctes.append("h AS (SELECT count(*) AS n FROM snaps)")
-    return f"WITH {', '.join(ctes)} {body}"
+    return f"WITH {', '.join(ctes)} {body}" if ctes else body
 
 
 ORACLE_SQL = {name: sql(name) for name in TWINS}

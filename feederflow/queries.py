@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feederflow.functions import scalars
 from feederflow.operators import accounting, reductions, topology, validate
 from feederflow.plans import derive, lp, merit
 
@@ -352,4 +353,201 @@ def intensity_trace(spark, sf_dir):
 def consumption_by_country(spark, sf_dir):
     n, d, flows = _trade_flows(spark, sf_dir)
     shed = n["buses"].join(n["snapshots"].select("t")).select("t", "bus_id", F.lit(1.0).alias("mw"))
-    return rounded(accounting.consumption_by_country(n, accounting.intensity(n, d, flows), shed), "tonnes")
+    return accounting.consumption_by_country(n, local_intensity(n, d), shed).withColumn("tonnes", F.round("tonnes", 3))
+
+
+def local_intensity(n, d) -> DataFrame:
+    """The mix of each bus's own generation, where there is any."""
+    own = d.join(n["generators"].select("gen_id", "bus_id", "co2_emissions"), "gen_id").groupBy("t", "bus_id").agg(F.sum("mw").alias("mw"), F.sum(F.col("mw") * F.col("co2_emissions")).alias("co2"))
+    return own.select("t", "bus_id", (F.col("co2") / F.col("mw")).alias("intensity"))
+
+
+@query
+def losses_carbon(spark, sf_dir):
+    n, d, flows = _trade_flows(spark, sf_dir)
+    lost = flows.join(n["lines"].select("line_id", "loss"), "line_id").select("line_id", "t", (F.abs("mw") * F.col("loss")).alias("mw"))
+    return accounting.losses_carbon(n, local_intensity(n, d), lost).withColumn("tonnes", F.round("tonnes", 3))
+
+
+@query
+def embodied_carbon(spark, sf_dir):
+    n = net(spark, sf_dir, "generators")
+    return rounded(accounting.embodied(n, n["generators"].where("p_nom_extendable").select("gen_id", (F.col("p_nom") / 2).alias("mw"))), "tonnes")
+
+
+@query
+def line_loading(spark, sf_dir):
+    n, _, flows = _trade_flows(spark, sf_dir)
+    lines = n["lines"].withColumn("s_nom", F.when(F.col("line_id") % 11 == 0, float("inf")).otherwise(F.col("line_id") % 21 + 0.0))
+    return rounded(reductions.loading(lines, flows), "loading", "mean_flow")
+
+
+@query
+def mean_load(spark, sf_dir):
+    return rounded(reductions.mean_positive(net(spark, sf_dir, "load_profile", "snapshots")["load_profile"], "load_id", more_than=10), "mean")
+
+
+def _levels(spark, sf_dir):
+    n = net(spark, sf_dir, "buses", "lines")
+    return n.with_tables(buses=n["buses"].withColumn("v_nom", (F.col("bus_id") * 37 % 500).cast("double")))
+
+
+@query
+def line_voltage_band(spark, sf_dir):
+    return reductions.line_voltage(_levels(spark, sf_dir)).select("line_id", "kv", reductions.voltage_band("kv").alias("band"))
+
+
+@query
+def voltages_stated(spark, sf_dir):
+    return reductions.voltages_stated(_levels(spark, sf_dir)["buses"])
+
+
+@query
+def shown_buses(spark, sf_dir):
+    b = net(spark, sf_dir, "buses")["buses"].withColumn("country", F.col("synchronous_area"))
+    hidden, only = reductions.shown_buses(b, ["ASIA", "EUROPE"]), reductions.shown_buses(b, only="ASIA")
+    return hidden.select(F.lit("hidden").alias("filter"), "bus_id").unionByName(only.select(F.lit("only").alias("filter"), "bus_id"))
+
+
+def _places(spark, sf_dir):
+    t = derive.Tables(spark, sf_dir)
+    k = F.col("s_suppkey")
+    return t.supplier.select(k.alias("place_id"), (k * 37 % 400 / 10 - 10).alias("x"), (k * 53 % 300 / 10 + 35).alias("y"), (k * 7919 % 1000).alias("rank"), (k * 1000).cast("double").alias("population"))
+
+
+@query
+def places_within(spark, sf_dir):
+    return reductions.places_within(_places(spark, sf_dir).withColumn("rank", F.col("rank") * 10_000 + F.col("place_id")), -5.0, 40.0, 20.0, 60.0, 15).select("place_id", "rank")
+
+
+@query
+def population_weight(spark, sf_dir):
+    return reductions.population_weight(_places(spark, sf_dir), net(spark, sf_dir, "buses")["buses"]).withColumn("weight", F.round("weight", 3))
+
+
+@query
+def axis_fit(spark, sf_dir):
+    p = net(spark, sf_dir, "load_profile", "snapshots")["load_profile"]
+    return rounded(reductions.axis_fit(p.withColumn("value", -F.col("value"))), "low", "high")
+
+
+@query
+def full_stack(spark, sf_dir):
+    n, d = facts(spark, sf_dir)
+    given = n["snapshots"].select(F.lit(3).alias("storage_id"), "t", (F.col("t") % 7 - 2).cast("double").alias("mw"))
+    return reductions.full_stack(n["generators"], d, given)
+
+
+@query
+def label_order(spark, sf_dir):
+    return reductions.label_order(net(spark, sf_dir, "buses", "generators", "loads", "lines"), [7, 3])
+
+
+@query
+def hvdc_ties(spark, sf_dir):
+    n = net(spark, sf_dir, "buses", "links")
+    ties = n["buses"].where("bus_id < 4").select(F.concat(F.lit("dc"), F.col("bus_id").cast("string")).alias("name"), F.col("bus_id").alias("bus_a"), (F.col("bus_id") + 10).alias("bus_b"), F.lit(500.0).alias("p_nom"), scalars.dc_efficiency(F.col("bus_id") * 200.0, 0.03).alias("efficiency"))
+    return rounded(topology.with_hvdc_ties(n, ties)["links"].select("link_id", "name", "bus0", "bus1", "p_nom", "efficiency"), "efficiency")
+
+
+@query
+def contingencies_all_lines(spark, sf_dir):
+    return topology.contingencies_all_lines(net(spark, sf_dir, "lines")["lines"])
+
+
+@query
+def first_appearance(spark, sf_dir):
+    return topology.first_appearance(net(spark, sf_dir, "generators")["generators"], "carrier", "gen_id")
+
+
+@query
+def scatter_back(spark, sf_dir):
+    n = net(spark, sf_dir, "generators")
+    cut = n["generators"].where("gen_id % 3 = 0").select("gen_id", F.col("p_nom").alias("value"))
+    return topology.scatter_back(n["generators"], cut, "gen_id")
+
+
+@query
+def scalar_formulas(spark, sf_dir):
+    """Formulas over the lines: efficiency, admittance, head, envelopes, ratings."""
+    k, km = F.col("line_id"), F.col("s_nom")
+    g, b = scalars.admittance(F.col("resistance"), (k % 3) * 0.1)
+    lo, hi = -(k % 5).cast("double"), (k % 7).cast("double")
+    slope, start = scalars.secant(lo, hi)
+    kv = (k % 8 * 100).cast("double")
+    out = net(spark, sf_dir, "lines")["lines"].select(
+        "line_id", scalars.dc_efficiency(km, 0.03).alias("dc"), g.alias("g"), b.alias("b"), scalars.head_level(F.lit(0.4), km / 1000).alias("head"), slope.alias("slope"), start.alias("start"),
+        scalars.thermal_mw(kv).alias("thermal"), scalars.line_susceptance(kv, km, F.lit(2.0)).alias("susceptance"), scalars.quantise(km, 500.0).alias("steps"),
+    )
+    return rounded(out, "dc", "g", "b", "head", "susceptance")
+
+
+@query
+def envelope_planes(spark, sf_dir):
+    k = F.col("line_id")
+    planes = scalars.mccormick((k % 5).cast("double"), (k % 5 + 3).cast("double"), (k % 4).cast("double"), (k % 4 + 2).cast("double"))
+    return net(spark, sf_dir, "lines")["lines"].select("line_id", F.inline(planes))
+
+
+@query
+def text_formulas(spark, sf_dir):
+    """Formulas over texts: points, projections, key-value pairs, carriers, cuts and escapes."""
+    b = net(spark, sf_dir, "buses")["buses"]
+    point = scalars.wkt_point(F.format_string("POINT(%s %s)", F.col("x").cast("int"), F.col("y").cast("int")))
+    pairs = scalars.hstore(F.concat(F.lit('"name"=>"'), F.col("name"), F.lit('", "kv"=>"'), F.col("bus_id").cast("string"), F.lit('"')))
+    kinds = F.element_at(F.array(*map(F.lit, ["Hydro Pure Storage", "Brown coal/Lignite", "Hard coal", "Wind Onshore", "unknown"])), F.col("bus_id") % 5 + 1)
+    return rounded(
+        b.select(
+            "bus_id", point["lon"].alias("lon"), point["lat"].alias("lat"), scalars.mercator(F.col("y")).alias("mercator"), scalars.place(F.col("x") * 10, F.col("y")).isNotNull().alias("placed"), pairs["kv"].alias("kv"), scalars.fuel(kinds).alias("fuel"),
+            scalars.cut_name(F.repeat(F.col("name"), 40)).alias("cut"), scalars.xml_escape(F.concat(F.lit("<a & 'b'> "), "name")).alias("xml"), scalars.xsd_datetime(F.col("bus_id") * 86401).alias("time"), scalars.place_kind(F.concat(F.lit("Admin-"), (F.col("bus_id") % 3).cast("string"), F.lit(" capital")), F.col("bus_id") * 10_000).alias("kind"),
+        ),
+        "mercator",
+    )
+
+
+@query
+def lp_rows_ties(spark, sf_dir):
+    return _terms(lp.Assembly(net(spark, sf_dir, "buses", "generators", "snapshots", "periods", "gen_availability")).capacity_ties())
+
+
+@query
+def lp_rows_shift(spark, sf_dir):
+    return _terms(lp.Assembly(net(spark, sf_dir, "loads", "snapshots", "load_profile")).shift())
+
+
+@query
+def lp_rows_interrupt(spark, sf_dir):
+    return _terms(lp.Assembly(net(spark, sf_dir, "loads", "snapshots")).interruptible())
+
+
+def _heads(spark, sf_dir, bands: int):
+    n = net(spark, sf_dir, "storage_units", "snapshots")
+    return lp.Assembly(n.with_tables(storage_units=n["storage_units"].withColumn("head_min_pu", F.lit(0.5)).withColumn("head_bands", F.lit(bands))))
+
+
+@query
+def lp_rows_head(spark, sf_dir):
+    return _terms(_heads(spark, sf_dir, 0).head())
+
+
+@query
+def lp_rows_head_bands(spark, sf_dir):
+    return _terms(_heads(spark, sf_dir, 3).head_bands())
+
+
+@query
+def lp_rows_security(spark, sf_dir):
+    """How many monitored lines each listed outage binds, and the sum of what moves; factors have no SQL twin."""
+    n = net(spark, sf_dir, "buses", "lines", "snapshots")
+    n = n.with_tables(contingencies=derive.contingencies(derive.Tables(spark, sf_dir)))
+    rows = lp.Assembly(n).security().where("t = 0")
+    return rounded(rows.groupBy(F.col("k").alias("outaged")).agg(F.count("*").alias("n"), F.sum(F.col("terms")[1]["val"]).alias("moved")), "moved")
+
+
+@query
+def numbered_model(spark, sf_dir):
+    """The whole model as numbered triplets: entries, sums and ends by row family."""
+    m = lp.Assembly(net(spark, sf_dir)).model()
+    _, rows, coef = lp.triplets(m)
+    per = coef.join(rows.select("row", "family"), "row").groupBy("family")
+    return rounded(per.agg(F.count("*").alias("n"), F.countDistinct("row").alias("rows"), F.min("row").alias("first"), F.max("row").alias("last")))

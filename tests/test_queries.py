@@ -20,7 +20,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return list(df.columns), sorted(tuple(None if x != x else x for x in r) for r in df.itertuples(index=False, name=None))
+    return list(df.columns), sorted((tuple(None if x != x else x for x in r) for r in df.itertuples(index=False, name=None)), key=lambda r: [(x is not None, x) for x in r])
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -5,7 +5,8 @@ import pytest
 from feederflow.functions.scalars import fuzzy_score
 from feederflow.operators.validate import NetworkError, validate
 from feederflow.sources import cases
-from feederflow.sources.tables import SourceError, load_csv, parse_csv, tranches
+from feederflow.sources.draft import SourceError
+from feederflow.sources.tables import load_csv, parse_csv, tranches
 
 CASE = """function mpc = three
 mpc.baseMVA = 100;
@@ -26,7 +27,7 @@ def test_matpower(spark):
     g = n["generators"].collect()
     assert [(r["p_nom"], r["marginal_cost"], r["p_min_pu"]) for r in g] == [(80.0, 12.0, 0.25)]
     lines = n["lines"].orderBy("line_id").collect()
-    assert [(r["s_nom"], r["susceptance"]) for r in lines] == [(1e6, 1000.0), (40.0, 0.0)]
+    assert [(r["s_nom"], r["susceptance"]) for r in lines] == [(1e6, 10.0), (40.0, 0.0)]
     assert {r["name"]: r["synchronous_area"] for r in n["buses"].collect()} == {"bus1": "sync0", "bus2": "sync0", "bus7": "sync2"}
     with pytest.raises(SourceError):
         cases.matpower(spark, CASE.replace(" 2 7 0 0", " 2 9 0 0"))

@@ -74,7 +74,7 @@ def _located(df: DataFrame, value: Column, total: int, pieces: DataFrame, cells:
     return df.withColumn("_at", value).withColumn("_cell", cell(F.col("_at"))).join(spread, "_cell").where("_at >= lo and _at < hi").drop("_cell")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 4096, weights=(5, 2, 1), most: int = 3, seed: int = 7, bucket_rows: int = 4096, keep=()) -> Mix:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 4096, weights=(5, 2, 1), most: int = 3, seed: int = 7, bucket_rows: int = 1024, bucket_run: int = 4096, keep=()) -> Mix:
     """The mix of ``docs`` as tables; see :func:`mixture` for the rules on nulls. ``keep``: columns that ``sized`` passes on."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("_hash"), *keep]
@@ -84,12 +84,15 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     got = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("slots")).first()["slots"]
     buckets = max(1, -(-sized.count() // bucket_rows))
 
-    # Each document's place in its source's stream: sums within buckets of a source, and before them the sums of whole buckets.
+    # Each document's place in its source's stream: sums within a bucket of the source, before them the sums of whole
+    # buckets within a run of buckets, and before those the sums of whole runs. No window grows with the source.
     bucket = F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(buckets)).alias("bucket")
     keyed = sized.join(sources.select(F.col("source").alias("_source"), "source_id"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source_id", "size", "_hash", bucket, *keep)
     full = keyed.where("size > 0")
-    ahead = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = full.groupBy("source_id", "bucket").agg(F.sum("size").alias("_sum")).select("source_id", "bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
+    before = lambda *keys: F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = full.groupBy("source_id", "bucket").agg(F.sum("size").alias("_sum")).withColumn("run", F.floor(F.col("bucket") / bucket_run))
+    runs = sums.groupBy("source_id", "run").agg(F.sum("_sum").alias("_sum")).select("source_id", "run", before("source_id", "run").alias("_ahead"))
+    base = sums.select("source_id", "run", "bucket", before("source_id", "run", "bucket").alias("_in")).join(runs, ["source_id", "run"]).select("source_id", "bucket", (F.col("_in") + F.col("_ahead")).alias("_base"))
     within = Window.partitionBy("source_id", "bucket").orderBy("doc_id", "_hash", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = full.withColumn("_upto", F.sum("size").over(within)).join(base, ["source_id", "bucket"]).select("doc_id", "source_id", "size", (F.col("_base") + F.col("_upto") - F.col("size")).alias("start"), *keep)
     placed = placed.unionByName(keyed.where("size = 0").select("doc_id", "source_id", "size", F.lit(None).cast("bigint").alias("start"), *keep))

@@ -265,7 +265,13 @@ def plain_taken(mix_rows, slots, block):
 
 
 def test_mix_takes_what_its_slots_hold(spark, docs):
-    mix = mixing.plan(docs, block=8, bucket_rows=5, shard_slots=16)
+    mix = mixing.plan(docs, block=8, bucket_rows=5, bucket_run=2, shard_slots=16)
+    placed = {}
+    for r in mix.sized.where("size > 0").collect():  # every source's words in one stream without gaps
+        placed.setdefault(r["source_id"], []).append((r["start"], r["size"]))
+    for mine in placed.values():
+        mine.sort()
+        assert [a + n for a, n in mine[:-1]] == [a for a, _ in mine[1:]] and mine[0][0] == 0
     slots, sources = mix.slots.collect(), {r["source_id"]: r for r in mix.sources.collect()}
     assert Counter(s["source_id"] for s in slots) == {k: r["quota"] for k, r in sources.items() if r["quota"]}
     for source_id, r in sources.items():  # every slot of a source once, and in each whole pass every block once

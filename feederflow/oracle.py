@@ -133,6 +133,12 @@ def _family(name: str, lower: str, upper: str, rest: str, ints: int = 0) -> str:
 
 
 TWINS |= {
+    "violations_planted": ("gens buses lines loads stores snaps horizon profile", """SELECT code, CAST(id AS BIGINT) AS component_id FROM (WITH l AS (SELECT line_id, CASE WHEN line_id % 23 = 0 THEN 999 ELSE bus0 END AS b0, CASE WHEN line_id % 29 = 0 THEN bus0 ELSE bus1 END AS b1, b, CASE WHEN line_id % 31 = 0 THEN -1 ELSE s_nom END AS s FROM lines)
+        SELECT 'bad_weight' AS code, t AS id FROM snaps WHERE t % 50 = 7 UNION ALL SELECT 'generator_bus', gen_id FROM gens WHERE gen_id % 13 = 0 UNION ALL SELECT 'generator_p_nom', gen_id FROM gens WHERE gen_id % 11 = 0 UNION ALL SELECT 'generator_p_min_pu', gen_id FROM gens WHERE gen_id % 17 = 0 UNION ALL
+        SELECT 'co2_emissions', gen_id FROM gens WHERE gen_id % 19 = 0 UNION ALL SELECT 'generator_ceiling', gen_id FROM gens WHERE ext AND gen_id % 2 = 0 UNION ALL SELECT 'line_bus0', line_id FROM l WHERE b0 = 999 UNION ALL SELECT 'self_loop', line_id FROM l WHERE b0 = b1 UNION ALL SELECT 'line_s_nom', line_id FROM l WHERE s < 0 UNION ALL
+        SELECT 'line_across_areas', line_id FROM l JOIN buses a ON a.bus_id = b0 JOIN buses z ON z.bus_id = b1 WHERE b > 0 AND a.area <> z.area UNION ALL SELECT 'extendable_line', line_id FROM l WHERE line_id % 37 = 0 AND b > 0 UNION ALL SELECT 'line_ceiling', line_id FROM l WHERE line_id % 37 = 0 AND s > 0 UNION ALL
+        SELECT 'load_bus', load_id FROM loads WHERE load_id % 6 = 0 UNION ALL SELECT 'storage_bus', storage_id FROM stores WHERE storage_id = 2 UNION ALL SELECT 'storage_efficiency', storage_id FROM stores WHERE storage_id IN (3, 4) UNION ALL SELECT 'storage_max_hours', storage_id FROM stores WHERE storage_id = 5 UNION ALL SELECT 'storage_ceiling', storage_id FROM stores WHERE storage_id = 1 UNION ALL
+        SELECT 'profile_shape', load_id FROM (SELECT load_id, count(DISTINCT t) AS c FROM profile GROUP BY load_id) JOIN loads USING (load_id) CROSS JOIN horizon WHERE c <> n)"""),
     "consumption_by_country": ("loads facts gens buses", """SELECT country, round(sum(greatest(p_set - 1.0, 0.0) * i), 3) AS tonnes FROM loads JOIN (SELECT t, bus_id, sum(mw * co2) / sum(mw) AS i FROM facts JOIN gens USING (gen_id) GROUP BY 1, 2) USING (bus_id) JOIN buses USING (bus_id) GROUP BY country"""),
     "losses_carbon": ("lines facts gens", """SELECT line_id, round(sum(mw * 0.5 * (p.i + q.i)), 3) AS tonnes FROM (SELECT line_id, bus0, bus1, t, abs((line_id * 31 + t * 17) % 41 - 20) * loss AS mw FROM lines, (SELECT DISTINCT t FROM facts))
         JOIN (SELECT t, bus_id AS bus0, sum(mw * co2) / sum(mw) AS i FROM facts JOIN gens USING (gen_id) GROUP BY 1, 2) p USING (t, bus0) JOIN (SELECT t, bus_id AS bus1, sum(mw * co2) / sum(mw) AS i FROM facts JOIN gens USING (gen_id) GROUP BY 1, 2) q USING (t, bus1) WHERE mw > 0 GROUP BY line_id"""),

@@ -110,6 +110,22 @@ def violations(spark, sf_dir):
     return validate.violations(net(spark, sf_dir, "snapshots", "buses", "generators", "lines", "loads", "storage_units", "gen_availability", "load_profile")).select("code", "component_id")
 
 
+@query
+def violations_planted(spark, sf_dir):
+    """The derived network with faults of every kind."""
+    n = net(spark, sf_dir, "snapshots", "buses", "generators", "lines", "loads", "storage_units", "load_profile")
+    k = lambda key, every: F.col(key) % every == 0
+    swap = lambda df, **new: df.withColumns({c: F.when(when, value).otherwise(F.col(c)) for c, (when, value) in new.items()})
+    faulty = n.with_tables(
+        snapshots=swap(n["snapshots"], weight=(F.col("t") % 50 == 7, 0.0)),
+        generators=swap(n["generators"], bus_id=(k("gen_id", 13), 999), p_nom=(k("gen_id", 11), -1.0), p_min_pu=(k("gen_id", 17), 1.5), co2_emissions=(k("gen_id", 19), -1.0), p_nom_max=(k("gen_id", 2), -5.0)),
+        lines=swap(n["lines"], bus0=(k("line_id", 23), 999), bus1=(k("line_id", 29), F.col("bus0")), s_nom=(k("line_id", 31), -1.0), s_nom_extendable=(k("line_id", 37), True), s_nom_max=(k("line_id", 37), 0.0)),
+        loads=swap(n["loads"], bus_id=(k("load_id", 6), 999)),
+        storage_units=swap(n["storage_units"], bus_id=(F.col("storage_id") == 2, 999), efficiency_store=(F.col("storage_id") == 3, 0.0), efficiency_dispatch=(F.col("storage_id") == 4, 1.2), max_hours=(F.col("storage_id") == 5, -1.0), p_nom_extendable=(F.col("storage_id") == 1, True), p_nom_max=(F.col("storage_id") == 1, 0.0)),
+    )
+    return validate.violations(faulty).select("code", "component_id")
+
+
 @query
 def knn_places(spark, sf_dir):
     t = derive.Tables(spark, sf_dir)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederflow.network import Network, if_small, is_transport
-from feederflow.operators.topology import cost_factor, lines_by_bus, links_by_bus, outage_factors, period_of_snapshot, synchronous_areas
+from feederflow.operators.topology import cost_factor, lines_by_bus, links_by_bus, outage_factors, period_of_snapshot, shared_table, synchronous_areas
 
 INF = float("inf")
 #: The order of blocks: (rank, sub-rank) by column family. The numbering of columns follows from it.
@@ -451,21 +451,23 @@ def blocks(df: DataFrame, order: dict) -> DataFrame:
     return each.withColumn("inside", inside).join(ranges, ["r", "range"]).select("family", "id", "k", (F.col("base") + F.col("inside")).alias("start"), "t0", "n")
 
 
-def numbered(df: DataFrame, order: dict, number: str) -> DataFrame:
+def numbered(df: DataFrame, order: dict, number: str, starts: DataFrame | None = None) -> DataFrame:
     """``df`` with a dense number by family, component, sub-index and snapshot: its block's start and its place there."""
-    return df.join(if_small(blocks(df, order).drop("n")), ["family", "id", "k"]).withColumn(number, F.col("start") + F.col("t") - F.col("t0")).drop("start", "t0")
+    starts = blocks(df, order) if starts is None else starts
+    return df.join(if_small(starts.drop("n")), ["family", "id", "k"]).withColumn(number, F.col("start") + F.col("t") - F.col("t0")).drop("start", "t0")
 
 
 def triplets(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(cols, rows, coef)`` with dense numbers ``col`` and ``row``; ``coef`` is ``(row, col, val)``.
 
     A coefficient meets the two tables of blocks, which have a row for each component, and never the tables of
-    columns and rows. One that names a column that isn't there is left out.
+    columns and rows. One that names a column that isn't there is left out. The blocks are tables of their own, made
+    once, whose size is known before they are joined.
     """
-    cols, rows = blocks(model.cols, COLUMN_ORDER), blocks(model.rows, ROW_ORDER)
+    cols, rows = shared_table(blocks(model.cols, COLUMN_ORDER), "blocks"), shared_table(blocks(model.rows, ROW_ORDER), "blocks")
     ends = cols.select(F.col("family").alias("cfamily"), F.col("id").alias("cid"), F.col("k").alias("ck"), F.col("start").alias("cstart"), F.col("t0").alias("c0"), F.col("n").alias("cn"))
     coef = model.coef.join(if_small(rows.drop("n")), ["family", "id", "k"]).join(if_small(ends), ["cfamily", "cid", "ck"]).where("ct >= c0 and ct < c0 + cn")
-    return numbered(model.cols, COLUMN_ORDER, "col"), numbered(model.rows, ROW_ORDER, "row"), coef.select((F.col("start") + F.col("t") - F.col("t0")).alias("row"), (F.col("cstart") + F.col("ct") - F.col("c0")).alias("col"), "val")
+    return numbered(model.cols, COLUMN_ORDER, "col", cols), numbered(model.rows, ROW_ORDER, "row", rows), coef.select((F.col("start") + F.col("t") - F.col("t0")).alias("row"), (F.col("cstart") + F.col("ct") - F.col("c0")).alias("col"), "val")
 
 
 def compressed(coef: DataFrame, partitions: int | None = None) -> DataFrame:

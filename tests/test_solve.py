@@ -3,11 +3,11 @@
 import numpy as np
 import pytest
 
-from feederflow.network import Globals, Network
-from feederflow.plans import simplex
-from feederflow.plans.lp import Assembly, row_counts, structural_faults, triplets
+from feederflow.network import SMALL_ROWS, Globals, Network
+from feederflow.plans import lp, simplex
+from feederflow.plans.lp import Assembly, Model, row_counts, structural_faults, triplets
 from feederflow.plans.merit import demand, price_and_shed
-from feederflow.plans.solve import Horizon, solve, solve_many, solve_rolling
+from feederflow.plans.solve import Collected, Horizon, solve, solve_many, solve_rolling
 from feederflow.sources.synthetic import ring
 
 
@@ -96,6 +96,32 @@ def test_numbers_are_dense_and_sound(spark):
     assert all(r["row"] == r["id"] * 3 + r["t"] for r in first)
 
 
+def gusts(spark):
+    """Two units in commitment over 200 hours, one of them without wind at both ends, beside words' ends and over a whole word."""
+    calm = {0, 3, 62, 63, *range(100, 195), 199}
+    gens = [{"bus_id": 0, "p_nom": 100.0, "p_min_pu": 0.5, "committable": True, "min_up_time": 3, "min_down_time": 2}] * 2
+    return Network.of(spark, snapshots=hours(200), buses=[{"name": "a"}], generators=gens, gen_availability=[{"gen_id": 0, "t": t, "value": float(t not in calm)} for t in range(200)], loads=[{"bus_id": 0, "p_set": 50.0}])
+
+
+@pytest.mark.parametrize(("few", "there"), [(SMALL_ROWS, "true"), (0, "family <> 'status' or id = 1 or t % 70 between 5 and 63")])
+def test_numbers_over_missing_snapshots_against_the_driver(spark, monkeypatch, few, there):
+    monkeypatch.setattr(lp, "SMALL_ROWS", few, raising=False)  # blocks broadcast, and not
+    m = Assembly(gusts(spark)).model(("commitment_rows",))
+    assert m.rows.where("family = 'commitment' and id = 0 and k = 1").count() == 100
+    m = Model(m.cols.where(there), m.rows, m.coef)
+    whole, (cols, rows, coef) = Collected.of(m), triplets(m)
+    for got, want, number in ((cols, whole.cols, "col"), (rows, whole.rows, "row")):
+        assert [tuple(r) for r in got.orderBy(number).select("family", "id", "k", "t", number).collect()] == [(*r, i) for i, r in enumerate(want[["family", "id", "k", "t"]].itertuples(index=False, name=None))]
+    assert sorted(tuple(r) for r in coef.collect()) == sorted(whole.coef[["row", "col", "val"]].itertuples(index=False, name=None))
+    assert [r["n"] for r in structural_faults(cols, rows, coef).collect()] == [0, 0, 0]
+
+
+def test_a_snapshot_twice_in_a_block_is_an_error(spark):
+    rows = spark.createDataFrame([("ramp", 1, 0, t) for t in (0, 1, 1, 3)], "family string, id bigint, k int, t int")
+    with pytest.raises(Exception, match="ramp 1 has a snapshot twice"):
+        lp.numbered(rows, lp.ROW_ORDER, "row").collect()
+
+
 def test_simplex_against_enumeration():
     rng = np.random.default_rng(3)
     for _ in range(30):

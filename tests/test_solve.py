@@ -1,5 +1,7 @@
 """Small networks whose answers are arithmetic."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -122,6 +124,24 @@ def test_a_snapshot_twice_in_a_block_is_an_error(spark):
         lp.numbered(rows, lp.ROW_ORDER, "row").collect()
 
 
+def unfolded(spark):
+    """Series of a row for each component, unfolded over the snapshots: to the planner, as small as the components."""
+    net = Network.of(spark, snapshots=hours(50), buses=[{"name": "a"}], generators=[{"bus_id": 0, "p_nom": 100.0, "committable": True, "p_nom_extendable": True, "p_nom_max": 200.0}] * 3, loads=[{"bus_id": 0, "p_set": 50.0, "shiftable_pu": 0.1}])
+    series = lambda n, key: spark.range(n).selectExpr(f"cast(id as int) {key}", "explode(sequence(0, 48)) as t", "0.5D as value")
+    return net.with_tables(gen_availability=series(2, "gen_id"), load_profile=series(1, "load_id"))
+
+
+def by_estimate(df):
+    """The joins with a series that the driver would gather."""
+    return re.findall(r"BroadcastHashJoin \[(?:gen|load|storage)_id#\d+, t#\d+\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_dispatch_columns_do_not_gather_the_series(spark):
+    df = Assembly(unfolded(spark)).dispatch()
+    assert by_estimate(df) == []
+    assert {(r["id"], r["t"]): r["upper"] for r in df.collect()} == {(g, t): 100.0 if g < 2 and t < 49 else 200.0 for g in range(3) for t in range(50)}
+
+
 def test_simplex_against_enumeration():
     rng = np.random.default_rng(3)
     for _ in range(30):

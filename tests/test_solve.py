@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feederflow.network import SMALL_ROWS, Globals, Network
 from feederflow.plans import lp, simplex
@@ -142,6 +143,13 @@ def test_dispatch_columns_do_not_gather_the_series(spark):
     assert {(r["id"], r["t"]): r["upper"] for r in df.collect()} == {(g, t): 100.0 if g < 2 and t < 49 else 200.0 for g in range(3) for t in range(50)}
 
 
+def test_columns_do_not_gather_the_series(spark):
+    df = Assembly(unfolded(spark)).columns()
+    assert by_estimate(df) == []
+    per = {r["family"]: r["n"] for r in df.groupBy("family").agg(F.count("*").alias("n")).collect()}
+    assert per == {"dispatch": 150, "gen_capacity": 3, "status": 150, "start_up": 150, "shut_down": 150, "load_shift": 50, "shed": 50}
+
+
 def test_simplex_against_enumeration():
     rng = np.random.default_rng(3)
     for _ in range(30):

@@ -150,6 +150,14 @@ def test_columns_do_not_gather_the_series(spark):
     assert per == {"dispatch": 150, "gen_capacity": 3, "status": 150, "start_up": 150, "shut_down": 150, "load_shift": 50, "shed": 50}
 
 
+def test_rows_do_not_gather_the_series_and_entries_are_the_triplets(spark):
+    m = Assembly(unfolded(spark)).model(("commitment_rows", "capacity_ties", "shift"))
+    assert by_estimate(m.rows) == by_estimate(m.coef) == []
+    _, rows, coef = triplets(m)
+    want = coef.join(rows.select("row", "family"), "row").select("family", "row", "col", "val")
+    assert sorted(map(tuple, lp.entries(m).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_simplex_against_enumeration():
     rng = np.random.default_rng(3)
     for _ in range(30):

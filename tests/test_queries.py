@@ -31,7 +31,7 @@ def test_twin(spark, duck, name):
         assert rows(got) == rows(duck.execute(ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["lp_rows_commitment"])
+@pytest.mark.parametrize("name", ["lp_rows_commitment", "lp_rows_ties"])
 def test_zeros_have_the_signs_of_the_twin(spark, duck, name):
     signs = lambda df: sorted(zip(df["id"], df["k"], df["t"], df["cfamily"], df["cid"], df["ck"], df["ct"], df["val"].map(str), strict=True))
     got, want = signs(QUERIES[name](spark, SF).toPandas()), signs(duck.execute(ORACLE_SQL[name]).df())
